@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeline.functions.amounts import blank_to_null
-from stakeline.scale import BROADCAST_ROWS, aggregate_for
+from stakeline.scale import BROADCAST_ROWS, Sized, aggregate_for
 
 
 def _joined(col: str) -> Column:
@@ -15,25 +15,23 @@ def _joined(col: str) -> Column:
 
 
 def resolve_labels(
-    delegates: DataFrame,
+    delegates: Sized,
     names: DataFrame,
     ens: DataFrame,
     labels: DataFrame,
     category: str = "institution",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``address``, ``name`` and ``ens`` of each distinct ``delegates.address``.
+    """``address``, ``name`` and ``ens`` of ``delegates``, a table of distinct addresses.
 
     ENS and category labels count only for addresses missing from the address book. An empty name
     falls back to the label; empty texts become NULL. Each lookup is reduced to one row per
     address first, so repeats in one never multiply those in another.
     """
-    wanted = delegates.select("address").distinct()
-
     def per_address(df: DataFrame, *cols: str) -> DataFrame:
         df = df.select("address", *cols)
         return aggregate_for(
-            df, wanted, ["address"], *[_joined(c) for c in cols], broadcast_rows=broadcast_rows
+            df, delegates, ["address"], *[_joined(c) for c in cols], broadcast_rows=broadcast_rows
         )
 
     listed = F.lit(True).alias("listed")
@@ -46,7 +44,8 @@ def resolve_labels(
     ).select("address", F.col("name").alias("tag"))
     in_book = F.col("listed").isNotNull()
     return (
-        wanted.join(book, "address", "left")
+        delegates.df.select("address")
+        .join(book, "address", "left")
         .join(domains, "address", "left")
         .join(tags, "address", "left")
         .select(

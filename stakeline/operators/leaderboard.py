@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stakeline.functions.addresses import to_text
 from stakeline.functions.amounts import share, to_tokens
-from stakeline.scale import BROADCAST_ROWS, WINDOW_ROWS, left_lookup, rank_rows
+from stakeline.scale import BROADCAST_ROWS, WINDOW_ROWS, Sized, left_lookup, rank_rows, sized
 
 
 def holdings(balances: DataFrame, delegations: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def _above_dust(df: DataFrame, dust: float) -> DataFrame:
 
 
 def delegator_leaderboard(
-    holdings: DataFrame,
+    holdings: Sized,
     names: DataFrame,
     decimals: int = 18,
     dust: float = 1e-12,
@@ -60,7 +60,7 @@ def delegator_leaderboard(
     )
     listed = left_lookup(holdings, book, "to_delegate", broadcast_rows)
     copies = F.coalesce("copies", F.lit(1)).cast("decimal(10,0)")
-    totals = listed.agg(
+    totals = listed.df.agg(
         F.struct(
             F.sum((F.col("units") * copies).cast("decimal(38,0)")).alias("repeated"),
             F.sum("units").alias("distinct"),
@@ -83,7 +83,7 @@ def delegator_leaderboard(
 
 
 def delegator_leaderboard_multi(
-    holdings: DataFrame,
+    holdings: Sized,
     names: DataFrame,
     decimals: int = 18,
     dust: float = 1e-12,
@@ -117,4 +117,4 @@ def delegator_leaderboard_multi(
 
 def global_rank(leaderboard: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Re-rank a filtered multi-chain leaderboard across chains."""
-    return rank_rows(leaderboard.drop("rank"), [], [*_order(), F.col("chain")], window_rows)
+    return rank_rows(sized(leaderboard.drop("rank")), [], [*_order(), F.col("chain")], window_rows)

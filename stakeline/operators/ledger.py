@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeline.functions.amounts import to_tokens
-from stakeline.scale import BROADCAST_ROWS, aggregate_for
+from stakeline.scale import BROADCAST_ROWS, Sized, aggregate_for
 
 
 def debits(transfers: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def signed_legs(transfers: DataFrame) -> DataFrame:
 
 def ledger_balances(
     transfers: DataFrame,
-    holders: DataFrame,
+    holders: Sized,
     decimals: int = 18,
     legs=signed_legs,
     broadcast_rows: int = BROADCAST_ROWS,

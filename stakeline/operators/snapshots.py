@@ -48,8 +48,8 @@ def current_delegations(
 
 
 def delegators_per_delegate(changes: DataFrame) -> DataFrame:
-    """Current delegators of each delegate over the given events: delegate, delegators."""
-    latest = latest_per_key(changes, ["delegator"], LOG_ORDER, ties="all")
+    """Current delegators of each delegate over the events of one chain: delegate, delegators."""
+    latest = latest_per_key(changes, ["delegator"], LOG_ORDER)
     return latest.groupBy(F.col("to_delegate").alias("delegate")).agg(
         F.count(F.lit(1)).alias("delegators")
     )
@@ -77,26 +77,24 @@ def voting_power_snapshot(
     )
 
 
-def voting_power_endpoints(votes: DataFrame, as_of: str | datetime, lookback: str) -> DataFrame:
-    """Last event per delegate on either side of ``as_of - lookback``, in one pass over the events.
+def voting_power_change(votes: DataFrame, as_of: str | datetime, lookback: str) -> DataFrame:
+    """Base units now (``units``) and before the lookback (``prev_units``, 0 if none) per delegate.
 
-    Columns delegate, units, evt_block_number, evt_index, earlier. At most one event per delegate
-    and side (ties kept), whatever the number of events.
+    One pass over the events: each delegate is first cut to its last event on either side of
+    ``as_of - lookback``, whatever the number of events, and those two rows then meet.
     """
+    zero = F.lit(0).cast("decimal(38,0)")
+    earlier = F.coalesce(F.col("evt_block_time") < before(as_of, lookback), F.lit(False))
     sides = votes.select(
-        "delegate",
-        F.col("new_votes").alias("units"),
-        *LOG_ORDER,
-        F.coalesce(F.col("evt_block_time") < before(as_of, lookback), F.lit(False)).alias("earlier"),
+        "delegate", F.col("new_votes").alias("units"), *LOG_ORDER, earlier.alias("earlier")
     )
-    return latest_per_key(sides, ["delegate", "earlier"], LOG_ORDER, ties="all")
-
-
-def voting_power_change(endpoints: DataFrame) -> DataFrame:
-    """Base units now (``units``) and before the lookback (``prev_units``, 0 if none) per delegate."""
-    now = latest_per_key(endpoints, ["delegate"], LOG_ORDER, ties="all").select("delegate", "units")
-    then = endpoints.where("earlier").select("delegate", F.col("units").alias("_then"))
-    zero = F.lit(0).cast("decimal(38,0)")
-    return now.join(then, "delegate", "left").select(
-        "delegate", "units", F.coalesce("_then", zero).alias("prev_units")
+    ends = latest_per_key(sides, ["delegate", "earlier"], LOG_ORDER)
+    both = Window.partitionBy("delegate")
+    last = both.orderBy(*[F.col(c).desc_nulls_last() for c in LOG_ORDER])
+    then = F.max(F.when(F.col("earlier"), F.col("units"))).over(both)
+    return (
+        ends.withColumn("prev_units", F.coalesce(then, zero))
+        .withColumn("_place", F.row_number().over(last))
+        .where("_place = 1")
+        .select("delegate", "units", "prev_units")
     )

@@ -17,7 +17,7 @@ from stakeline.functions.addresses import ZERO, address, to_text, with_text
 from stakeline.functions.links import explorer_url, html_link
 from stakeline.functions.times import moment
 from stakeline.operators import delegates, holders, labels, leaderboard, ledger, metrics, snapshots
-from stakeline.scale import Pinned, pin
+from stakeline.scale import Sized, pin
 from stakeline.sources.tables import Tables
 
 
@@ -25,8 +25,8 @@ from stakeline.sources.tables import Tables
 class State:
     """Current delegations and ledger holdings, stored once per report."""
 
-    delegations: Pinned
-    holdings: Pinned
+    delegations: Sized
+    holdings: Sized
 
 
 def current_state(
@@ -42,7 +42,7 @@ def current_state(
     delegations = pin(
         snapshots.current_delegations(changes, cfg.as_of, order, with_time), "delegations"
     )
-    balances = ledger.ledger_balances(transfers, delegations.df, cfg.decimals)
+    balances = ledger.ledger_balances(transfers, delegations, cfg.decimals)
     return State(delegations, pin(leaderboard.holdings(balances, delegations.df), "holdings"))
 
 
@@ -92,7 +92,7 @@ def single_chain_delegators(tables: Tables, chain: str, cfg: Config = Config())
     cfg = cfg.at()
     state = current_state(tables, cfg, chain, with_time=False)
     board = leaderboard.delegator_leaderboard(
-        state.holdings.df, tables.address_names, cfg.decimals, cfg.dust
+        state.holdings, tables.address_names, cfg.decimals, cfg.dust
     )
     columns = [
         "rank",
@@ -110,7 +110,7 @@ def single_chain_delegators(tables: Tables, chain: str, cfg: Config = Config())
 
 def _multi_board(tables: Tables, cfg: Config, state: State) -> DataFrame:
     board = leaderboard.delegator_leaderboard_multi(
-        state.holdings.df, tables.address_names, cfg.decimals, cfg.dust
+        state.holdings, tables.address_names, cfg.decimals, cfg.dust
     )
     return pin(board, "leaderboard").df
 
@@ -145,7 +145,7 @@ def holding_size_ranges(tables: Tables, cfg: Config = Config()) -> DataFrame:
     cfg = cfg.at()
     state = current_state(tables, cfg)
     board = leaderboard.delegator_leaderboard_multi(
-        state.holdings.df, tables.address_names, cfg.decimals, cfg.dust
+        state.holdings, tables.address_names, cfg.decimals, cfg.dust
     )
     return metrics.holding_histogram(board, cfg.edges, cfg.last_edge_label)
 
@@ -205,21 +205,20 @@ def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
 
 
 def delegate_power(tables: Tables, cfg: Config) -> DataFrame:
-    """Base units per delegate now and before the lookback, the zero address left out."""
+    """Base units per delegate now and before the lookback, the zero address left out; stored."""
     votes = tables.votes_changed.where(
         (F.col("chain") == cfg.votes_chain) & (F.col("delegate") != address(ZERO))
     )
-    endpoints = pin(snapshots.voting_power_endpoints(votes, cfg.as_of, cfg.lookback), "votes")
-    return pin(snapshots.voting_power_change(endpoints.df), "power").df
+    return pin(snapshots.voting_power_change(votes, cfg.as_of, cfg.lookback), "power").df
 
 
 def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
-    """Top delegates and the collapsed rest; at most 2 * top_n + 1 rows, stored."""
+    """Top delegates with their labels, and the collapsed rest: at most 2 * top_n + 1 rows."""
     power = delegate_power(tables, cfg)
-    top = pin(delegates.top_delegates(power, cfg.top_n), "top").df
+    top = delegates.top_delegates(power, cfg.top_n)
     powered = power.where("units > 0").join(F.broadcast(top), "delegate", "left_semi")
     named = labels.resolve_labels(
-        powered.select(F.col("delegate").alias("address")),
+        Sized(powered.select(F.col("delegate").alias("address")), 2 * cfg.top_n),
         tables.address_names,
         tables.ens,
         tables.labels,
@@ -227,7 +226,7 @@ def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
     )
     changes = tables.delegate_changed.where(F.col("chain") == cfg.votes_chain)
     counts = snapshots.delegators_per_delegate(changes)
-    return pin(delegates.top_n_with_other(power, top, counts, named, cfg.decimals), "merged").df
+    return delegates.top_n_with_other(power, top, counts, named, cfg.decimals)
 
 
 def top_delegates(tables: Tables, cfg: Config = Config()) -> DataFrame:

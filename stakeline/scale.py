@@ -24,13 +24,18 @@ HOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
-class Pinned:
-    """A stored intermediate table and its row count."""
+class Sized:
+    """A table with a row count, exact or an upper bound."""
 
     df: DataFrame
     rows: int
 
 
+def sized(df: DataFrame) -> Sized:
+    """Count a table (file footers answer this for a Parquet scan)."""
+    return Sized(df, df.count())
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,23 +49,17 @@ def work_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def pin(df: DataFrame, name: str) -> Pinned:
+def pin(df: DataFrame, name: str) -> Sized:
     """Store ``df`` once so that its consumers neither recompute it nor depend on executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    return Pinned(stored, stored.count())
-
-
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows (file footers answer this for a Parquet scan)."""
-    return df.count() <= rows
+    return sized(spark.read.schema(df.schema).parquet(path))
 
 
 def aggregate_for(
     rows: DataFrame,
-    wanted: DataFrame,
+    wanted: Sized,
     on: Sequence[str],
     *aggs: Column,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -71,38 +70,41 @@ def aggregate_for(
     map-side partial aggregation collapses hot groups before the shuffle, and the join with the
     list reuses the partitioning of the aggregate.
     """
-    keys = wanted.select(*on)
-    if fits(keys, broadcast_rows):
+    keys = wanted.df.select(*on)
+    if wanted.rows <= broadcast_rows:
         return rows.join(F.broadcast(keys), list(on), "left_semi").groupBy(*on).agg(*aggs)
     return rows.groupBy(*on).agg(*aggs).join(keys, list(on), "left_semi")
 
 
 def left_lookup(
-    left: DataFrame,
+    left: Sized,
     right: DataFrame,
     key: str,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+) -> Sized:
     """``left.join(right, key, "left")`` for distinct left rows and a skewed key.
 
     Beyond broadcast size, keys with more than ``hot_rows`` left rows are cut into slices of about
     that size, and their right rows are repeated once per slice. There are at most
-    ``count(left) / hot_rows`` hot keys. The result of that form is pinned.
+    ``left.rows / hot_rows`` hot keys. The result of that form is pinned.
     """
-    if fits(right, broadcast_rows):
-        return left.join(F.broadcast(right), key, "left")
+    repeats = right.groupBy(key).count()
+    size = repeats.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
+    if (size["rows"] or 0) <= broadcast_rows:
+        joined = left.df.join(F.broadcast(right), key, "left")
+        return Sized(joined, left.rows * max(size["most"] or 0, 1))
     hot = (
-        left.where(F.col(key).isNotNull())
+        left.df.where(F.col(key).isNotNull())
         .groupBy(key)
         .count()
         .where(F.col("count") > hot_rows)
         .select(key, F.ceil(F.col("count") / hot_rows).alias("_slices"))
     )
     slices = F.coalesce("_slices", F.lit(1))
-    others = [c for c in left.columns if c != key]
+    others = [c for c in left.df.columns if c != key]
     cut_left = (
-        left.join(F.broadcast(hot), key, "left")
+        left.df.join(F.broadcast(hot), key, "left")
         .withColumn("_slice", F.pmod(F.xxhash64(*others), slices))
         .drop("_slices")
     )
@@ -111,14 +113,11 @@ def left_lookup(
         .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)))
         .drop("_slices")
     )
-    return pin(cut_left.join(cut_right, [key, "_slice"], "left").drop("_slice"), "lookup").df
+    return pin(cut_left.join(cut_right, [key, "_slice"], "left").drop("_slice"), "lookup")
 
 
 def rank_rows(
-    table: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    window_rows: int = WINDOW_ROWS,
+    table: Sized, by: Sequence[str], order: Sequence[Column], window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """Add ``rank`` = ROW_NUMBER() OVER (PARTITION BY by ORDER BY order), for few, large groups.
 
@@ -127,11 +126,12 @@ def rank_rows(
     place within the sorted slice plus the rows of the same group in earlier slices. The table of
     those offsets has one row per slice and group.
     """
-    if fits(table, window_rows):
+    if table.rows <= window_rows:
         window = Window.partitionBy(*by).orderBy(*order)
-        return table.withColumn("rank", F.row_number().over(window).cast("long"))
+        return table.df.withColumn("rank", F.row_number().over(window).cast("long"))
     placed = pin(
-        table.orderBy(*by, *order).withColumn("_place", F.monotonically_increasing_id()), "ranked"
+        table.df.orderBy(*by, *order).withColumn("_place", F.monotonically_increasing_id()),
+        "ranked",
     ).df.withColumn("_slice", F.shiftright("_place", 33))
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

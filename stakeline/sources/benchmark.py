@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stakeline.config import Config
+from stakeline.functions.amounts import UNITS
 from stakeline.sources import tables as src
 
 CHAINS = ("Ethereum", "Base", "Optimism", "Arbitrum")
@@ -17,23 +18,23 @@ VOTES_CONFIG = Config(as_of="2024-01-31 00:00:00", decimals=4, top_n=50, quorum=
 
 
 def addr(k: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(k.cast("long"))), 40, "0"))
+    """Number as a 20-byte address."""
+    return F.unhex(F.lpad(F.hex(k.cast("long")), 40, "0"))
 
 
 def chain_of(k: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in CHAINS]), (k % 4).cast("int"))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The views with host-style columns and text addresses."""
+def _whole(x: Column) -> Column:
+    return F.floor(x + 0.5).cast(UNITS)
 
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    changes = read("orders").select(
+def _changes(read) -> DataFrame:
+    key = F.col("o_orderkey")
+    return read("orders").select(
         chain_of(key).alias("chain"),
-        addr(cust + 1).alias("delegator"),
+        addr(F.col("o_custkey") + 1).alias("delegator"),
         addr(F.lit(0)).alias("fromDelegate"),
         addr(F.floor(key / 4) % 131).alias("toDelegate"),
         F.date_diff("o_orderdate", F.lit("1995-01-01")).cast("long").alias("evt_block_number"),
@@ -41,32 +42,35 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("o_orderdate").alias("evt_block_time"),
         addr(key).alias("evt_tx_hash"),
     )
-    transfers = read("lineitem").select(
+
+
+def _transfers(read) -> DataFrame:
+    sender = F.when(F.col("l_linenumber") == 1, F.col("l_suppkey") + 1).otherwise(0)
+    return read("lineitem").select(
         chain_of(F.col("l_orderkey")).alias("chain"),
-        F.when(F.col("l_linenumber") == 1, addr(F.col("l_suppkey") + 1))
-        .otherwise(addr(F.lit(0)))
-        .alias("from"),
+        addr(sender).alias("from"),
         addr(F.col("l_partkey") + 1).alias("to"),
-        F.round(F.col("l_extendedprice") * 100).cast("decimal(38,0)").alias("value"),
+        _whole(F.col("l_extendedprice") * 100).alias("value"),
     )
-    events = read("events")
-    votes = (F.floor(F.col("value") / 10) * 10000).cast("decimal(38,0)")
+
+
+def _votes(read) -> DataFrame:
+    votes = (F.floor(F.col("value") / 10) * 10000).cast(UNITS)
     by_user = Window.partitionBy("user_id").orderBy("event_id")
-    votes_changed = events.select(
+    return read("events").select(
         F.lit("Ethereum").alias("chain"),
         addr(F.col("user_id")).alias("delegate"),
         votes.alias("newVotes"),
-        F.coalesce(F.lag(votes).over(by_user), F.lit(0).cast("decimal(38,0)")).alias("previousVotes"),
+        F.coalesce(F.lag(votes).over(by_user), F.lit(0).cast(UNITS)).alias("previousVotes"),
         F.floor(F.col("event_id") / 4).alias("evt_block_number"),
         F.col("event_id").alias("evt_index"),
         F.col("ts").alias("evt_block_time"),
     )
-    raw = (
-        F.when(F.col("event_id") % 10 == 0, 0)
-        .otherwise(F.round(F.col("value") * 10000))
-        .cast("decimal(38,0)")
-    )
-    balance = events.select(
+
+
+def _balances(read) -> DataFrame:
+    raw = F.when(F.col("event_id") % 10 == 0, F.lit(0).cast(UNITS)).otherwise(_whole(F.col("value") * 10000))
+    return read("events").select(
         F.lower(chain_of(F.col("event_id"))).alias("chain"),
         addr(F.col("user_id")).alias("address"),
         F.col("event_type").alias("token_address"),
@@ -74,52 +78,51 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (raw.cast("double") / F.lit(1e4)).alias("balance"),
         F.col("ts").alias("block_time"),
     )
-    supp = F.col("s_suppkey")
-    supplier = read("supplier")
-    book = supplier.select(
-        addr(supp).alias("address"),
-        F.when(supp % 3 == 0, "").otherwise(F.col("s_name")).alias("name"),
-        F.when(supp % 4 == 0, F.concat(F.lit("s"), supp.cast("string"), F.lit(".eth")))
-        .otherwise("")
-        .alias("ens"),
-    )
-    aliases = supplier.where(supp % 5 == 0).select(
-        addr(supp).alias("address"),
-        F.concat("s_name", F.lit("-alias")).alias("name"),
-        F.lit("").alias("ens"),
-    )
-    customer = read("customer")
-    cust_key = F.col("c_custkey")
-    ens = customer.select(
-        addr(cust_key).alias("address"),
-        F.when(cust_key % 7 != 0, F.lower("c_name")).alias("name"),
+
+
+def _names(read) -> DataFrame:
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    ens = F.when(key % 4 == 0, F.concat(F.lit("s"), key.cast("string"), F.lit(".eth"))).otherwise("")
+    own = F.struct(F.when(key % 3 == 0, "").otherwise(name).alias("name"), ens.alias("ens"))
+    alias = F.struct(F.concat(name, F.lit("-alias")).alias("name"), F.lit("").alias("ens"))
+    entries = F.when(key % 5 == 0, F.array(own, alias)).otherwise(F.array(own))
+    return read("supplier").select(addr(key).alias("address"), F.inline(entries))
+
+
+def _ens(read) -> DataFrame:
+    key = F.col("c_custkey")
+    return read("customer").select(
+        addr(key).alias("address"), F.when(key % 7 != 0, F.lower("c_name")).alias("name")
     )
+
+
+def _labels(read) -> DataFrame:
     segment = F.col("c_mktsegment")
-    category_labels = customer.select(
-        addr(cust_key).alias("address"),
+    return read("customer").select(
+        addr(F.col("c_custkey")).alias("address"),
         F.when(segment == "BUILDING", "institution").otherwise("other").alias("category"),
         segment.alias("name"),
     )
-    return {
-        "delegate_changed": changes,
-        "transfer": transfers,
-        "votes_changed": votes_changed,
-        "balance": balance,
-        "address_names": book.union(aliases),
-        "ens": ens,
-        "labels": category_labels,
-    }
-
-
-def benchmark_tables(spark: SparkSession, sf_dir: str) -> src.Tables:
-    """The views through the readers, as the reports take them."""
-    raw = raw_tables(spark, sf_dir)
+
+
+_RAW = {
+    "delegate_changed": (_changes, src.delegate_changed),
+    "transfers": (_transfers, src.transfers),
+    "votes_changed": (_votes, src.votes_changed),
+    "balances": (_balances, lambda spark, df: src.balances(spark, df, CONFIG.decimals)),
+    "address_names": (_names, src.address_names),
+    "ens": (_ens, src.ens_names),
+    "labels": (_labels, src.category_labels),
+}
+
+
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One view with host-style columns."""
+    return _RAW[name][0](lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def benchmark_tables(spark: SparkSession, sf_dir: str, *names: str) -> src.Tables:
+    """The named views (all by default) through the readers, as the reports take them."""
     return src.Tables(
-        delegate_changed=src.delegate_changed(spark, raw["delegate_changed"]),
-        transfers=src.transfers(spark, raw["transfer"]),
-        votes_changed=src.votes_changed(spark, raw["votes_changed"]),
-        balances=src.balances(spark, raw["balance"], CONFIG.decimals),
-        address_names=src.address_names(spark, raw["address_names"]),
-        ens=src.ens_names(spark, raw["ens"]),
-        labels=src.category_labels(spark, raw["labels"]),
+        **{name: _RAW[name][1](spark, raw_table(spark, sf_dir, name)) for name in names or _RAW}
     )

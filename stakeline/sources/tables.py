@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stakeline.functions.addresses import from_text
-from stakeline.functions.amounts import to_units
+from stakeline.functions.amounts import UNITS, to_units
 from stakeline.functions.times import utc
 from stakeline.operators.chains import union_chains
 
@@ -50,7 +50,9 @@ def _address(df: DataFrame, name: str) -> Column:
 
 
 def _units(df: DataFrame, name: str) -> Column:
-    return to_units(_column(df, name)[0]).alias(name)
+    col, kind = _column(df, name)
+    exact = isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0)
+    return (col.cast(UNITS) if exact else to_units(col)).alias(name)
 
 
 def _time(df: DataFrame, name: str) -> Column:
