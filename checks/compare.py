@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
@@ -23,14 +22,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _rows(names: list[str], rows: list[tuple]) -> list[tuple]:
     order = sorted(range(len(names)), key=names.__getitem__)
-
-    def cell(value):
-        # Spark returns every number of a DOUBLE column as float, DuckDB of a BIGINT as int.
-        if isinstance(value, float) and math.isnan(value):
-            return "nan"
-        return value
-
-    return sorted((tuple(cell(row[i]) for i in order) for row in rows), key=repr)
+    return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
 def difference(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:

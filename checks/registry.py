@@ -21,7 +21,7 @@ from stakeline.operators import (
     snapshots,
 )
 from stakeline.plans import reports
-from stakeline.scale import pin, sized
+from stakeline.scale import pin
 from stakeline.sources import tables as src
 from stakeline.sources.benchmark import (
     CONFIG,
@@ -174,9 +174,8 @@ def delegators_per_delegate(spark, sf_dir):
 def _ledger(spark, sf_dir, **options) -> DataFrame:
     t = benchmark_tables(spark, sf_dir, *LEDGER)
     current = snapshots.current_delegations(t.delegate_changed, CONFIG.as_of)
-    return _plain(
-        ledger.ledger_balances(t.transfers, pin(current, "delegations"), CONFIG.decimals, **options)
-    )
+    holders_now = pin(current.select("chain", "delegator"), "delegations")
+    return _plain(ledger.ledger_balances(t.transfers, holders_now, CONFIG.decimals, **options))
 
 
 @query

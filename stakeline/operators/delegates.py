@@ -28,37 +28,26 @@ def top_n_with_other(
 ) -> DataFrame:
     """One row per delegate in ``top`` (at most 2n rows) and one for all the rest.
 
-    A delegate nobody delegates to counts one delegator. Among the rest, delegates with the same
+    ``labels`` has at most one row per delegate in ``top``. A delegate nobody delegates to counts one delegator. Among the rest, delegates with the same
     power now and before add that power once, while all their delegators count.
     """
     total = power.agg(F.sum("units")).scalar()
-    kept = F.broadcast(top)
-    counts = F.coalesce("delegators", F.lit(1))
+    in_top = F.col("_top").isNotNull()
     by_power = ["units", "prev_units"]
-    named = (
-        power.join(kept, "delegate", "left_semi")
+    groups = (
+        power.join(F.broadcast(top.withColumn("_top", F.lit(True))), "delegate", "left")
         .join(delegators, "delegate", "left")
-        .join(labels.withColumnRenamed("address", "delegate"), "delegate", "left")
-        .groupBy(to_text("delegate").alias("delegate"), "name", "ens", *by_power)
-        .agg(F.sum(counts).alias("num_delegators"))
-    )
-    other = (
-        power.join(kept, "delegate", "left_anti")
-        .join(delegators, "delegate", "left")
-        .groupBy(*by_power)
-        .agg(F.sum(counts).alias("num_delegators"))
-        .select(
-            F.lit(OTHER).alias("delegate"),
-            F.lit(None).cast("string").alias("name"),
-            F.lit(None).cast("string").alias("ens"),
+        .join(F.broadcast(labels.withColumnRenamed("address", "delegate")), "delegate", "left")
+        .groupBy(
+            F.when(in_top, to_text("delegate")).otherwise(OTHER).alias("delegate"),
+            F.when(in_top, F.col("name")).alias("name"),
+            F.when(in_top, F.col("ens")).alias("ens"),
             *by_power,
-            "num_delegators",
         )
+        .agg(F.sum(F.coalesce("delegators", F.lit(1))).alias("num_delegators"))
     )
-    merged = (
-        named.union(other)
-        .groupBy("delegate", "name", "ens")
-        .agg(*[F.sum(c).alias(c) for c in [*by_power, "num_delegators"]])
+    merged = groups.groupBy("delegate", "name", "ens").agg(
+        *[F.sum(c).alias(c) for c in [*by_power, "num_delegators"]]
     )
     return merged.select(
         "delegate",

@@ -10,11 +10,6 @@ from stakeline.functions.amounts import share, to_tokens
 from stakeline.scale import BROADCAST_ROWS, WINDOW_ROWS, Sized, left_lookup, rank_rows, sized
 
 
-def holdings(balances: DataFrame, delegations: DataFrame) -> DataFrame:
-    """Balance and delegation of every (chain, delegator) that has both."""
-    return balances.select("chain", "delegator", "units").join(delegations, ["chain", "delegator"])
-
-
 def _order() -> list[Column]:
     # Amount and days alone tie, so the addresses and names complete the order.
     return [

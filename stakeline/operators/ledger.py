@@ -33,11 +33,12 @@ def ledger_balances(
     legs=signed_legs,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Credits minus debits of the (chain, delegator) pairs in ``holders``.
+    """Credits minus debits of the distinct (chain, delegator) pairs in ``holders``.
 
     Holders without a transfer are absent, balances may be negative, a self-transfer nets zero.
-    ``units`` is exact; ``w_delegated`` is the same in tokens. ``legs`` may be ``debits`` or
-    ``credits`` for one side only.
+    ``units`` is exact; ``w_delegated`` is the same in tokens. Other columns of ``holders`` stay,
+    so current delegations become holdings. ``legs`` may be ``debits`` or ``credits`` for one side
+    only.
     """
     return aggregate_for(
         legs(transfers),

@@ -42,8 +42,8 @@ def current_state(
     delegations = pin(
         snapshots.current_delegations(changes, cfg.as_of, order, with_time), "delegations"
     )
-    balances = ledger.ledger_balances(transfers, delegations, cfg.decimals)
-    return State(delegations, pin(leaderboard.holdings(balances, delegations.df), "holdings"))
+    holdings = ledger.ledger_balances(transfers, delegations, cfg.decimals).drop("w_delegated")
+    return State(delegations, pin(holdings, "holdings"))
 
 
 def _links(cfg: Config) -> dict[str, Column]:

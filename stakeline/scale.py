@@ -64,16 +64,18 @@ def aggregate_for(
     *aggs: Column,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``rows.groupBy(on).agg(aggs)`` for the groups listed in ``wanted`` only.
+    """``wanted`` (one row per group) with the aggregates of its groups; empty groups are absent.
 
-    A short list filters the rows ahead of the aggregate. A long one filters the groups after it:
-    map-side partial aggregation collapses hot groups before the shuffle, and the join with the
-    list reuses the partitioning of the aggregate.
+    A short list filters the rows ahead of the aggregate. A long one meets the groups after it:
+    map-side partial aggregation collapses hot groups before the shuffle, and the join reuses the
+    partitioning of the aggregate.
     """
-    keys = wanted.df.select(*on)
+    on = list(on)
     if wanted.rows <= broadcast_rows:
-        return rows.join(F.broadcast(keys), list(on), "left_semi").groupBy(*on).agg(*aggs)
-    return rows.groupBy(*on).agg(*aggs).join(keys, list(on), "left_semi")
+        few = F.broadcast(wanted.df)
+        groups = rows.join(F.broadcast(wanted.df.select(*on)), on, "left_semi").groupBy(*on).agg(*aggs)
+        return groups.join(few, on) if set(wanted.df.columns) > set(on) else groups
+    return rows.groupBy(*on).agg(*aggs).join(wanted.df, on)
 
 
 def left_lookup(
