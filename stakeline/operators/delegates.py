@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stakeline.functions.addresses import to_text
 from stakeline.functions.amounts import change_ratio, share, to_tokens
 from stakeline.functions.links import delegate_anchor, html_link
+from stakeline.scale import with_row
 
 OTHER = "Other"
 
@@ -31,7 +32,7 @@ def top_n_with_other(
     ``labels`` has at most one row per delegate in ``top``. A delegate nobody delegates to counts one delegator. Among the rest, delegates with the same
     power now and before add that power once, while all their delegators count.
     """
-    total = power.agg(F.sum("units")).scalar()
+    total = power.agg(F.sum("units").alias("total_units"))
     in_top = F.col("_top").isNotNull()
     by_power = ["units", "prev_units"]
     groups = (
@@ -49,17 +50,17 @@ def top_n_with_other(
     merged = groups.groupBy("delegate", "name", "ens").agg(
         *[F.sum(c).alias(c) for c in [*by_power, "num_delegators"]]
     )
-    return merged.select(
+    return with_row(merged, total).select(
         "delegate",
         "name",
         "ens",
         "units",
         to_tokens("units", decimals).alias("dt_voting_power"),
-        share("units", total).alias("pct_voting_power"),
+        share("units", "total_units").alias("pct_voting_power"),
         "num_delegators",
         to_tokens(F.col("units") - F.col("prev_units"), decimals).alias("vp_change_30d"),
         to_tokens("prev_units", decimals).alias("prev_voting_power"),
-        total.alias("total_units"),
+        "total_units",
     )
 
 

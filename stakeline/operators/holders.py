@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stakeline.functions.amounts import to_tokens
 from stakeline.operators.snapshots import latest_per_key
+from stakeline.scale import with_row
 
 
 def latest_holdings(balances: DataFrame, token: Column) -> DataFrame:
@@ -41,22 +42,17 @@ def balance_at_ranks(holders: DataFrame, ks: Sequence[int]) -> DataFrame:
 
 def holder_snapshot(holders: DataFrame, ks: Sequence[int], decimals: int = 18) -> DataFrame:
     """Holders by balance with grand total, chain total, rank thresholds and holder count."""
-    totals = holders.agg(
-        F.struct(F.sum("units").alias("units"), F.count("address").alias("holders"))
-    ).scalar()
-    marks = balance_at_ranks(holders, ks).select(F.struct("*")).scalar()
+    totals = holders.agg(F.sum("units").alias("all_units"), F.count("address").alias("holders"))
     # One row per chain.
     per_chain = holders.groupBy("chain").agg(F.sum("units").alias("chain_units"))
-    return (
-        holders.join(F.broadcast(per_chain), "chain")
-        .orderBy(F.col("units").desc(), "address", "chain")
-        .select(
-            "address",
-            "balance",
-            F.col("chain").alias("blockchain"),
-            to_tokens(totals.getField("units"), decimals).alias("total_balance"),
-            to_tokens("chain_units", decimals).alias("sep_balance"),
-            *[marks.getField(f"top_{k}_balance").alias(f"top_{k}_balance") for k in ks],
-            totals.getField("holders").alias("num_of_stakers"),
-        )
+    ordered = holders.orderBy(F.col("units").desc(), "address", "chain")
+    out = ordered.join(F.broadcast(per_chain), "chain")
+    return with_row(with_row(out, totals), balance_at_ranks(holders, ks)).select(
+        "address",
+        "balance",
+        F.col("chain").alias("blockchain"),
+        to_tokens("all_units", decimals).alias("total_balance"),
+        to_tokens("chain_units", decimals).alias("sep_balance"),
+        *[f"top_{k}_balance" for k in ks],
+        F.col("holders").alias("num_of_stakers"),
     )

@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeline.functions.addresses import to_text
-from stakeline.functions.amounts import share, to_tokens
-from stakeline.scale import BROADCAST_ROWS, WINDOW_ROWS, Sized, left_lookup, rank_rows, sized
+from stakeline.functions.amounts import UNITS, share, to_tokens
+from stakeline.scale import (
+    BROADCAST_ROWS,
+    WINDOW_ROWS,
+    Sized,
+    left_lookup,
+    pin,
+    rank_rows,
+    sized,
+    with_row,
+)
 
 
 def _order() -> list[Column]:
@@ -56,23 +65,21 @@ def delegator_leaderboard(
     listed = left_lookup(holdings, book, "to_delegate", broadcast_rows)
     copies = F.coalesce("copies", F.lit(1)).cast("decimal(10,0)")
     totals = listed.df.agg(
-        F.struct(
-            F.sum((F.col("units") * copies).cast("decimal(38,0)")).alias("repeated"),
-            F.sum("units").alias("distinct"),
-        )
-    ).scalar()
-    ranked = rank_rows(listed, [], _order(), window_rows).select(
+        F.sum((F.col("units") * copies).cast(UNITS)).alias("repeated_units"),
+        F.sum("units").alias("distinct_units"),
+    )
+    ranked = with_row(rank_rows(listed, [], _order(), window_rows), totals).select(
         "rank",
         "chain",
         "delegator",
         "units",
         to_tokens("units", decimals).alias("w_delegated"),
-        share("units", totals.getField("repeated")).alias("pct_of_delegated"),
+        share("units", "repeated_units").alias("pct_of_delegated"),
         "days_delegated",
         "delegate_date",
         "delegate_name",
         "delegate_address",
-        to_tokens(totals.getField("distinct"), decimals).alias("total_w_delegated"),
+        to_tokens("distinct_units", decimals).alias("total_w_delegated"),
     )
     return _above_dust(ranked, dust)
 
@@ -92,6 +99,9 @@ def delegator_leaderboard_multi(
     """
     listed = left_lookup(holdings, _book(names), "to_delegate", broadcast_rows)
     ranked = rank_rows(listed, ["chain"], _order(), window_rows)
+    if listed.rows <= window_rows:
+        # Totals, thresholds and the list all read the ranks; a larger table is stored already.
+        ranked = pin(ranked, "ranked").df
     # One row per chain.
     totals = ranked.groupBy("chain").agg(F.sum("units").alias("chain_units"))
     shares = ranked.join(F.broadcast(totals), "chain").select(

@@ -7,6 +7,7 @@ with a fixed ``as_of`` to make a report repeatable.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from stakeline.functions.addresses import ZERO, address, to_text, with_text
 from stakeline.functions.links import explorer_url, html_link
 from stakeline.functions.times import moment
 from stakeline.operators import delegates, holders, labels, leaderboard, ledger, metrics, snapshots
-from stakeline.scale import Sized, pin
+from stakeline.scale import Sized, pin, with_row
 from stakeline.sources.tables import Tables
 
 
@@ -61,11 +62,25 @@ def _links(cfg: Config) -> dict[str, Column]:
     }
 
 
-def _report(board: DataFrame, cfg: Config, columns: list[str]) -> DataFrame:
-    """Sort as the report does and project its columns, links included."""
+def _report(
+    board: DataFrame,
+    cfg: Config,
+    columns: list[str],
+    per_chain: Sequence[DataFrame] = (),
+    one_row: Sequence[DataFrame] = (),
+) -> DataFrame:
+    """Sort as the report does, then append repeated figures and links to the sorted rows.
+
+    ``per_chain`` frames have one row per chain, ``one_row`` frames a single row. Appending them
+    after the sort keeps its shuffle narrow; broadcast joins keep the order.
+    """
+    out = board.orderBy("rank", F.col("units").desc(), "chain", "delegator", "delegate_name")
+    for figures in per_chain:
+        out = out.join(F.broadcast(figures), "chain", "left")
+    for figures in one_row:
+        out = with_row(out, figures)
     links = _links(cfg)
-    ordered = board.orderBy("rank", F.col("units").desc(), "chain", "delegator", "delegate_name")
-    return ordered.select(*[links[c].alias(c) if c in links else c for c in columns])
+    return out.select(*[links[c].alias(c) if c in links else c for c in columns])
 
 
 _DELEGATION = ["w_delegated", "pct_of_delegated", "days_delegated", "delegate_date", "delegate_name"]
@@ -109,21 +124,9 @@ def single_chain_delegators(tables: Tables, chain: str, cfg: Config = Config())
 
 
 def _multi_board(tables: Tables, cfg: Config, state: State) -> DataFrame:
-    board = leaderboard.delegator_leaderboard_multi(
+    return leaderboard.delegator_leaderboard_multi(
         state.holdings, tables.address_names, cfg.decimals, cfg.dust
     )
-    return pin(board, "leaderboard").df
-
-
-def _with_one_row(df: DataFrame, row: DataFrame, *columns: str) -> DataFrame:
-    """Append columns of a one-row frame as scalar subqueries."""
-    value = row.select(F.struct(*columns)).scalar()
-    return df.select("*", *[value.getField(c).alias(c) for c in columns])
-
-
-def _with_per_chain(df: DataFrame, figures: DataFrame) -> DataFrame:
-    """Append figures with one row per chain."""
-    return df.join(F.broadcast(figures), "chain", "left")
 
 
 def all_chain_delegators(tables: Tables, cfg: Config = Config()) -> DataFrame:
@@ -132,12 +135,14 @@ def all_chain_delegators(tables: Tables, cfg: Config = Config()) -> DataFrame:
     state = current_state(tables, cfg)
     board = _multi_board(tables, cfg, state)
     totals = metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals)
-    out = _with_per_chain(board, metrics.rank_thresholds(board, cfg.ks))
-    out = _with_per_chain(out, metrics.unique_delegators(state.holdings.df))
-    out = _with_one_row(out, metrics.distinct_stakers(board), "num_of_stakers")
-    out = _with_one_row(out, totals, "total_w_delegated_all")
     columns = [*_MULTI, *_thresholds(cfg), "num_of_stakers", "total_w_delegated_all", "unique_delegators"]
-    return _report(out, cfg, columns)
+    return _report(
+        board,
+        cfg,
+        columns,
+        [metrics.rank_thresholds(board, cfg.ks), metrics.unique_delegators(state.holdings.df)],
+        [metrics.distinct_stakers(board), totals.select("total_w_delegated_all")],
+    )
 
 
 def holding_size_ranges(tables: Tables, cfg: Config = Config()) -> DataFrame:
@@ -156,10 +161,6 @@ def chain_totals_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
     state = current_state(tables, cfg)
     board = _multi_board(tables, cfg, state)
     totals = metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals)
-    out = _with_per_chain(board, metrics.rank_thresholds(board, cfg.ks))
-    out = _with_per_chain(out, metrics.unique_delegators(state.holdings.df))
-    out = _with_one_row(out, metrics.distinct_stakers(board), "num_of_stakers")
-    out = _with_one_row(out, totals, *totals.columns)
     chain_columns = [c for c in totals.columns if c != "total_w_delegated_all"]
     columns = [
         *_MULTI,
@@ -169,7 +170,13 @@ def chain_totals_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
         "unique_delegators",
         "total_w_delegated_all",
     ]
-    return _report(out, cfg, columns)
+    return _report(
+        board,
+        cfg,
+        columns,
+        [metrics.rank_thresholds(board, cfg.ks), metrics.unique_delegators(state.holdings.df)],
+        [metrics.distinct_stakers(board), totals],
+    )
 
 
 def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
@@ -184,10 +191,6 @@ def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
     totals = metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals, strict=True)
     prefixes = {c: CHAIN_PREFIX.get(c, c.lower()) for c in cfg.chains}
     wide = metrics.rank_thresholds_wide(board, cfg.ks, prefixes)
-    out = _with_per_chain(board, metrics.rank_thresholds(board, cfg.ks))
-    out = _with_per_chain(out, metrics.unique_delegators(state.delegations.df))
-    out = _with_one_row(out, totals, *totals.columns)
-    out = _with_one_row(out, wide, *wide.columns)
     columns = [
         "rank",
         "blockchain",
@@ -201,7 +204,13 @@ def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
         "unique_delegators",
         *wide.columns,
     ]
-    return _report(out, cfg, columns)
+    return _report(
+        board,
+        cfg,
+        columns,
+        [metrics.rank_thresholds(board, cfg.ks), metrics.unique_delegators(state.delegations.df)],
+        [totals, wide],
+    )
 
 
 def delegate_power(tables: Tables, cfg: Config) -> DataFrame:
