@@ -35,8 +35,8 @@ def balance_at_ranks(holders: DataFrame, ks: Sequence[int]) -> DataFrame:
     )
     window = Window.orderBy(F.col("units").desc(), "address", "chain")
     ranked = top.withColumn("rank", F.row_number().over(window))
-    return ranked.agg(
-        *[F.max(F.when(F.col("rank") == k, F.col("balance"))).alias(f"top_{k}_balance") for k in ks]
+    return ranked.selectExpr(
+        *[f"max(CASE WHEN rank = {k} THEN balance END) AS top_{k}_balance" for k in ks]
     )
 
 

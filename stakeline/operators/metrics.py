@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeline.config import k_label
-from stakeline.functions.amounts import to_tokens
-
-
-def _at_rank(k: int, value: str = "w_delegated") -> Column:
-    return F.max(F.when(F.col("rank") == k, F.col(value)))
 
 
 def rank_thresholds(leaderboard: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Tokens held at rank k, per chain; NULL if that rank does not exist or was filtered away."""
     return leaderboard.groupBy("chain").agg(
-        *[_at_rank(k).alias(f"tokens_for_top_{k_label(k)}") for k in ks]
+        *[
+            F.expr(f"max(CASE WHEN rank = {k} THEN w_delegated END) AS tokens_for_top_{k_label(k)}")
+            for k in ks
+        ]
     )
 
 
@@ -27,12 +24,10 @@ def rank_thresholds_wide(
     leaderboard: DataFrame, ks: Sequence[int], prefixes: dict[str, str]
 ) -> DataFrame:
     """The same as one row, a column per chain and k: ``<prefix>_top_<k>``."""
-    per_chain = rank_thresholds(leaderboard, ks)
-    return per_chain.agg(
+    return rank_thresholds(leaderboard, ks).selectExpr(
         *[
-            F.max(F.when(F.col("chain") == chain, F.col(f"tokens_for_top_{k_label(k)}"))).alias(
-                f"{prefix}_top_{k_label(k)}"
-            )
+            f"max(CASE WHEN chain = '{chain}' THEN tokens_for_top_{k_label(k)} END)"
+            f" AS {prefix}_top_{k_label(k)}"
             for chain, prefix in prefixes.items()
             for k in ks
         ]
@@ -47,14 +42,15 @@ def chain_totals(
     The grand total adds whatever rows exist; with ``strict`` it adds the chain totals, so one
     empty chain makes it NULL.
     """
-    per_chain = {c: F.sum(F.when(F.col("chain") == c, F.col("units"))) for c in chains}
-    grand = reduce(Column.__add__, per_chain.values()) if strict else F.sum("units")
-    return balances.agg(
+    totals = {
+        f"total_w_delegated_{c.lower()}": f"sum(CASE WHEN chain = '{c}' THEN units END)" for c in chains
+    }
+    grand = " + ".join(totals.values()) if strict else "sum(units)"
+    return balances.selectExpr(
         *[
-            to_tokens(total, decimals).alias(f"total_w_delegated_{c.lower()}")
-            for c, total in per_chain.items()
-        ],
-        to_tokens(grand, decimals).alias("total_w_delegated_all"),
+            f"CAST({total} AS DOUBLE) / {10**decimals}D AS {name}"
+            for name, total in {**totals, "total_w_delegated_all": grand}.items()
+        ]
     )
 
 
@@ -81,13 +77,11 @@ def range_label(edges: Sequence[int], last: int, i: int) -> str:
 
 def holding_histogram(leaderboard: DataFrame, edges: Sequence[int], last: int) -> DataFrame:
     """Rows per holding size, in the order of the sizes; empty buckets are absent."""
-    bucket = reduce(
-        lambda case, item: case.when(F.col("w_delegated") < item[1], item[0]),
-        list(enumerate(edges))[1:],
-        F.when(F.col("w_delegated") < edges[0], 0),
-    ).otherwise(len(edges))
+    cases = " ".join(f"WHEN w_delegated < {edge} THEN {i}" for i, edge in enumerate(edges))
     labels = F.array(*[F.lit(range_label(edges, last, i)) for i in range(len(edges) + 1)])
-    counts = leaderboard.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("num_of_stakers"))
-    return counts.orderBy("bucket").select(
-        F.get(labels, F.col("bucket")).alias("w_delegated_range"), "num_of_stakers"
+    return (
+        leaderboard.groupBy(F.expr(f"CASE {cases} ELSE {len(edges)} END AS bucket"))
+        .agg(F.count(F.lit(1)).alias("num_of_stakers"))
+        .orderBy("bucket")
+        .select(F.get(labels, F.col("bucket")).alias("w_delegated_range"), "num_of_stakers")
     )

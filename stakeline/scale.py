@@ -59,9 +59,7 @@ def pin(df: DataFrame, name: str) -> Sized:
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Append the columns of a one-row frame to every row, by one scalar subquery."""
-    return df.withColumn("_row", row.select(F.struct("*")).scalar()).select(
-        *df.columns, *[F.col("_row").getField(c).alias(c) for c in row.columns]
-    )
+    return df.withColumn("_row", row.select(F.struct("*")).scalar()).select("*", "_row.*").drop("_row")
 
 
 def aggregate_for(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stakeline.config import Config
+from stakeline.functions.addresses import ZERO, address
 from stakeline.functions.amounts import UNITS
 from stakeline.sources import tables as src
 
@@ -16,6 +17,16 @@ CONFIG = Config(
 )
 VOTES_CONFIG = Config(as_of="2024-01-31 00:00:00", decimals=4, top_n=50, quorum=100)
 
+# Columns the views read.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_extendedprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "supplier": "s_suppkey bigint, s_name string",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+}
+
 
 def addr(k: Column) -> Column:
     """Number as a 20-byte address."""
@@ -35,7 +46,7 @@ def _changes(read) -> DataFrame:
     return read("orders").select(
         chain_of(key).alias("chain"),
         addr(F.col("o_custkey") + 1).alias("delegator"),
-        addr(F.lit(0)).alias("fromDelegate"),
+        address(ZERO).alias("fromDelegate"),
         addr(F.floor(key / 4) % 131).alias("toDelegate"),
         F.date_diff("o_orderdate", F.lit("1995-01-01")).cast("long").alias("evt_block_number"),
         key.alias("evt_index"),
@@ -45,10 +56,10 @@ def _changes(read) -> DataFrame:
 
 
 def _transfers(read) -> DataFrame:
-    sender = F.when(F.col("l_linenumber") == 1, F.col("l_suppkey") + 1).otherwise(0)
+    mint = F.col("l_linenumber") != 1
     return read("lineitem").select(
         chain_of(F.col("l_orderkey")).alias("chain"),
-        addr(sender).alias("from"),
+        F.when(mint, address(ZERO)).otherwise(addr(F.col("l_suppkey") + 1)).alias("from"),
         addr(F.col("l_partkey") + 1).alias("to"),
         _whole(F.col("l_extendedprice") * 100).alias("value"),
     )
@@ -118,7 +129,11 @@ _RAW = {
 
 def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view with host-style columns."""
-    return _RAW[name][0](lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    def read(table: str) -> DataFrame:
+        return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+    return _RAW[name][0](read)
 
 
 def benchmark_tables(spark: SparkSession, sf_dir: str, *names: str) -> src.Tables:
