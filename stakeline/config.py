@@ -31,6 +31,7 @@ class Config:
     """
 
     as_of: str | datetime | None = None
+    # The defaults from here to ``label_category``, and the caption.
     chains: tuple[str, ...] = ("Ethereum", "Base", "Optimism", "Arbitrum")
     decimals: int = 18
     dust: float = 1e-12

@@ -34,12 +34,9 @@ def current_state(
     tables: Tables, cfg: Config, chain: str | None = None, with_time: bool = True
 ) -> State:
     """Read the events once, keep one row per (chain, delegator), and net their transfers."""
-    changes, transfers = tables.delegate_changed, tables.transfers
-    order = snapshots.EVENT_ORDER
-    if chain is not None:
-        changes = changes.where(F.col("chain") == chain)
-        transfers = transfers.where(F.col("chain") == chain)
-        order = snapshots.LOG_ORDER
+    wanted = F.col("chain").isin(*cfg.chains) if chain is None else F.col("chain") == chain
+    changes, transfers = tables.delegate_changed.where(wanted), tables.transfers.where(wanted)
+    order = snapshots.EVENT_ORDER if chain is None else snapshots.LOG_ORDER
     delegations = pin(
         snapshots.current_delegations(changes, cfg.as_of, order, with_time), "delegations"
     )

@@ -15,8 +15,8 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A broadcast table holds at most this many narrow rows (tens of MB on each executor).
-BROADCAST_ROWS = 500_000
+# A broadcast table holds at most this many narrow rows (some tens of MB on each executor).
+BROADCAST_ROWS = 200_000
 # A window group handled by one task holds at most this many rows.
 WINDOW_ROWS = 1_000_000
 # A join key with more rows than this is split.
@@ -50,9 +50,13 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame, name: str) -> Sized:
-    """Store ``df`` once so that its consumers neither recompute it nor depend on executors."""
+    """Store ``df`` once so that its consumers neither recompute it nor depend on executors.
+
+    The tables of one application share a folder, ``<work_dir>/stakeline/<application id>``.
+    """
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    folder = f"{work_dir(spark).rstrip('/')}/stakeline/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return sized(spark.read.schema(df.schema).parquet(path))
 
@@ -71,16 +75,18 @@ def aggregate_for(
 ) -> DataFrame:
     """``wanted`` (one row per group) with the aggregates of its groups; empty groups are absent.
 
-    A short list filters the rows ahead of the aggregate. A long one meets the groups after it:
-    map-side partial aggregation collapses hot groups before the shuffle, and the join reuses the
+    A short list filters the rows ahead of the aggregate. A long one meets only the groups: partial
+    aggregation in the map tasks collapses hot groups before the shuffle, and the join reuses the
     partitioning of the aggregate.
     """
     on = list(on)
-    if wanted.rows <= broadcast_rows:
-        few = F.broadcast(wanted.df)
-        groups = rows.join(F.broadcast(wanted.df.select(*on)), on, "left_semi").groupBy(*on).agg(*aggs)
-        return groups.join(few, on) if set(wanted.df.columns) > set(on) else groups
-    return rows.groupBy(*on).agg(*aggs).join(wanted.df, on)
+    short = wanted.rows <= broadcast_rows
+    if short:
+        rows = rows.join(F.broadcast(wanted.df.select(*on)), on, "left_semi")
+    groups = rows.groupBy(*on).agg(*aggs)
+    if short and set(wanted.df.columns) == set(on):
+        return groups
+    return groups.join(wanted.df, on)
 
 
 def left_lookup(

@@ -126,6 +126,7 @@ def test_leaderboard_invariants(spark):
 def test_work_dir_is_the_configured_folder(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert scale.work_dir(spark) == configured
+    app = spark.sparkContext.applicationId
     pinned = scale.pin(spark.range(5), "five")
     assert pinned.rows == 5
-    assert all(path.startswith(f"file://{configured}/five-") for path in pinned.df.inputFiles())
+    assert all(path.startswith(f"file://{configured}/stakeline/{app}/five-") for path in pinned.df.inputFiles())
