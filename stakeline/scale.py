@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 # A broadcast table holds at most this many narrow rows (some tens of MB on each executor).
 BROADCAST_ROWS = 200_000
+# Key hashes that take the room of one such row.
+HASHES_PER_ROW = 10
 # A window group handled by one task holds at most this many rows.
 WINDOW_ROWS = 1_000_000
 # A join key with more rows than this is split.
@@ -75,18 +77,18 @@ def aggregate_for(
 ) -> DataFrame:
     """``wanted`` (one row per group) with the aggregates of its groups; empty groups are absent.
 
-    A short list filters the rows ahead of the aggregate. A long one meets only the groups: partial
-    aggregation in the map tasks collapses hot groups before the shuffle, and the join reuses the
-    partitioning of the aggregate.
+    A short list filters the rows ahead of the aggregate, by hash where the join that follows is
+    exact anyway. A long one meets only the groups: partial aggregation in the map tasks collapses
+    hot groups before the shuffle, and the join reuses the partitioning of the aggregate.
     """
     on = list(on)
-    short = wanted.rows <= broadcast_rows
-    if short:
-        rows = rows.join(F.broadcast(wanted.df.select(*on)), on, "left_semi")
-    groups = rows.groupBy(*on).agg(*aggs)
-    if short and set(wanted.df.columns) == set(on):
-        return groups
-    return groups.join(wanted.df, on)
+    if set(wanted.df.columns) == set(on) and wanted.rows <= broadcast_rows:
+        return rows.join(F.broadcast(wanted.df), on, "left_semi").groupBy(*on).agg(*aggs)
+    if wanted.rows <= broadcast_rows * HASHES_PER_ROW:
+        hashes = wanted.df.select(F.xxhash64(*on).alias("_hash"))
+        rows = rows.withColumn("_hash", F.xxhash64(*on))
+        rows = rows.join(F.broadcast(hashes), "_hash", "left_semi")
+    return rows.groupBy(*on).agg(*aggs).join(wanted.df, on)
 
 
 def left_lookup(
