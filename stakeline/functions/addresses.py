@@ -17,9 +17,10 @@ def address(text: str) -> Column:
     return F.lit(bytes.fromhex(text.removeprefix("0x")))
 
 
-def from_text(col: Column) -> Column:
-    """``0x…`` text of any case to bytes."""
-    return F.unhex(F.substring(col, 3, 2**31 - 1))
+def from_text(col: Column, strict: bool = True) -> Column:
+    """``0x…`` text of any case to bytes; other text raises, or gives NULL if not ``strict``."""
+    digits, kind = F.substring(col, 3, 2**31 - 1), F.lit("hex")
+    return F.to_binary(digits, kind) if strict else F.try_to_binary(digits, kind)
 
 
 def to_text(col: Column | str) -> Column:

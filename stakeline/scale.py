@@ -104,6 +104,7 @@ def left_lookup(
     that size, and their right rows are repeated once per slice. There are at most
     ``left.rows / hot_rows`` hot keys. The result of that form is pinned.
     """
+    right = right.where(F.col(key).isNotNull())
     repeats = right.groupBy(key).count()
     size = repeats.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
     if (size["rows"] or 0) <= broadcast_rows:
@@ -117,10 +118,11 @@ def left_lookup(
         .select(key, F.ceil(F.col("count") / hot_rows).alias("_slices"))
     )
     slices = F.coalesce("_slices", F.lit(1))
-    others = [c for c in left.df.columns if c != key]
+    # A NULL key matches nothing, so its rows may go anywhere.
+    spread = F.xxhash64(*[c for c in left.df.columns if c != key])
     cut_left = (
         left.df.join(F.broadcast(hot), key, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(*others), slices))
+        .withColumn("_slice", F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, slices)))
         .drop("_slices")
     )
     cut_right = (

@@ -2,7 +2,8 @@
 
 Each reader takes a DataFrame, a table or view name, a folder path, or a ``{chain: one of these}``
 mapping for tables kept per chain. It selects only the columns the operators use, under one set of
-names and types: BINARY addresses, DECIMAL(38,0) base units, TIMESTAMP_NTZ in UTC.
+names and types: BINARY addresses, DECIMAL(38,0) base units, TIMESTAMP_NTZ in UTC. A malformed
+address stops the reading of events; in the name and label tables it merely matches nothing.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ def _column(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     return F.col(f"`{found.name}`"), found.dataType
 
 
-def _address(df: DataFrame, name: str) -> Column:
+def _address(df: DataFrame, name: str, strict: bool = True) -> Column:
     col, kind = _column(df, name)
-    return (col if isinstance(kind, T.BinaryType) else from_text(col)).alias(name)
+    return (col if isinstance(kind, T.BinaryType) else from_text(col, strict)).alias(name)
 
 
 def _units(df: DataFrame, name: str) -> Column:
@@ -149,20 +150,20 @@ def address_names(spark: SparkSession, source: DataFrame | str, fmt: str = "parq
     """Address book: address, name, ens (NULL where the book has no such column)."""
     df = load(spark, source, fmt)
     ens = _as(df, "ens", "string") if _find(df, "ens") else F.lit(None).cast("string").alias("ens")
-    return df.select(_address(df, "address"), _as(df, "name", "string"), ens)
+    return df.select(_address(df, "address", strict=False), _as(df, "name", "string"), ens)
 
 
 def ens_names(spark: SparkSession, source: DataFrame | str, fmt: str = "parquet") -> DataFrame:
     """ENS labels: address, name."""
     df = load(spark, source, fmt)
-    return df.select(_address(df, "address"), _as(df, "name", "string"))
+    return df.select(_address(df, "address", strict=False), _as(df, "name", "string"))
 
 
 def category_labels(spark: SparkSession, source: DataFrame | str, fmt: str = "parquet") -> DataFrame:
     """Category labels: address, category, name."""
     df = load(spark, source, fmt)
     return df.select(
-        _address(df, "address"), _as(df, "category", "string"), _as(df, "name", "string")
+        _address(df, "address", strict=False), _as(df, "category", "string"), _as(df, "name", "string")
     )
 
 

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stakeline.operators import holders, ledger, snapshots
@@ -111,3 +112,12 @@ def test_zoned_times_become_utc(spark):
         assert str(src.votes_changed(spark, df).first().evt_block_time) == "2024-01-01 00:00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_malformed_addresses(spark):
+    """Events with one are refused, a name under one matches nothing."""
+    bad = spark.sql("SELECT 'Base' AS chain, '0xzz' AS `from`, '0x00' AS `to`, 1 AS value")
+    with pytest.raises(PySparkException):
+        src.transfers(spark, bad).collect()
+    book = spark.sql("SELECT 'vitalik' AS address, 'V' AS name")
+    assert src.address_names(spark, book).first().address is None

@@ -46,7 +46,9 @@ def test_sliced_lookup_equals_left_join(spark, hot_rows):
     left = spark.createDataFrame(
         [(i, 0 if i % 3 else (None if i % 2 else i)) for i in range(120)], "id int, k int"
     )
-    right = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c"), (9, "d"), (9, "d")], "k int, name string")
+    right = spark.createDataFrame(
+        [(0, "a"), (0, "b"), (3, "c"), (9, "d"), (9, "d"), (None, "e")], "k int, name string"
+    )
     plain = left.join(right, "k", "left").select("id", "k", "name")
     sliced = scale.left_lookup(scale.sized(left), right, "k", broadcast_rows=0, hot_rows=hot_rows)
     assert collected(sliced.df.select("id", "k", "name")) == collected(plain)
@@ -92,9 +94,11 @@ def test_ledger_equals_branch_by_branch(spark, seed):
     for part in parts[1:]:
         union = union.union(part)
     want = collected(union.groupBy("chain", "delegator").agg(F.sum("units").alias("units")))
-    for limit in (0, 1000):
-        have = ledger.ledger_balances(moves, scale.sized(held), broadcast_rows=limit)
-        assert collected(have.select("chain", "delegator", "units")) == want
+    for limit in (0, 4, 1000):
+        for wanted in (held, held.withColumn("since", F.lit(1))):
+            have = ledger.ledger_balances(moves, scale.sized(wanted), broadcast_rows=limit)
+            assert set(have.columns) == {*wanted.columns, "units", "w_delegated"}
+            assert collected(have.select("chain", "delegator", "units")) == want
 
 
 def test_everyone_holding_sums_to_zero(spark):
