@@ -29,8 +29,9 @@ def top_n_with_other(
 ) -> DataFrame:
     """One row per delegate in ``top`` (at most 2n rows) and one for all the rest.
 
-    ``labels`` has at most one row per delegate in ``top``. A delegate nobody delegates to counts one delegator. Among the rest, delegates with the same
-    power now and before add that power once, while all their delegators count.
+    ``labels`` has at most one row per delegate in ``top``. A delegate nobody delegates to counts
+    one delegator. Among the rest, delegates with the same power now and before add that power
+    once, while all their delegators count.
     """
     total = power.agg(F.sum("units").alias("total_units"))
     in_top = F.col("_top").isNotNull()

@@ -37,9 +37,8 @@ def current_state(
     wanted = F.col("chain").isin(*cfg.chains) if chain is None else F.col("chain") == chain
     changes, transfers = tables.delegate_changed.where(wanted), tables.transfers.where(wanted)
     order = snapshots.EVENT_ORDER if chain is None else snapshots.LOG_ORDER
-    delegations = pin(
-        snapshots.current_delegations(changes, cfg.as_of, order, with_time), "delegations"
-    )
+    current = snapshots.current_delegations(changes, cfg.as_of, order, with_time)
+    delegations = pin(current.drop("evt_block_time"), "delegations")
     holdings = ledger.ledger_balances(transfers, delegations, cfg.decimals).drop("w_delegated")
     return State(delegations, pin(holdings, "holdings"))
 
