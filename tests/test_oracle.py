@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import types as T
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from checks.compare import connect, difference
+from checks.oracle import ORACLE
+from checks.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -26,10 +28,10 @@ WIDTHS = {
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = queries()[name](spark, SF_DIR)
-    assert difference(df, con, oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    assert difference(df, con, ORACLE[name]) is None
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [op for op in BANNED if op in plan]
     assert not any(isinstance(f.dataType, (T.NullType, T.BinaryType)) for f in df.schema.fields)
@@ -37,7 +39,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
