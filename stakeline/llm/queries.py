@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeline.llm import decontaminate, embeddings, langid, simhash
+from stakeline.llm import decontaminate, embeddings, langid, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,8 @@ def op2_benchmark_decontamination(spark, sf_dir):
 @query
 def op9_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix.repeated_bytes(table(spark, sf_dir, "documents"), length=200)
