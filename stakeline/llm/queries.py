@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeline.llm import decontaminate, embeddings, langid, simhash, suffix
+from stakeline.llm import decontaminate, embeddings, langid, packing, simhash, suffix, token_files
+from stakeline.llm.tokens import public_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,16 @@ def op9_language_id(spark, sf_dir):
 @query
 def op10_suffix_array_dedup(spark, sf_dir):
     return suffix.repeated_bytes(table(spark, sf_dir, "documents"), length=200)
+
+
+@query
+def op3_token_id_output(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_files.round_trip(docs, public_tokenizer("word_bpe_49k.json"), end=2).drop("ids")
+
+
+@query
+def op7_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2, with_ids=False)
+    return packed.drop("ids")
