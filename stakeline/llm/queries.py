@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeline.llm import decontaminate, embeddings, langid, packing, simhash, suffix, token_files
+from stakeline.llm import decontaminate, embeddings, langid, packing, simhash, suffix, token_files, warc
 from stakeline.llm.tokens import public_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,10 +35,10 @@ def op1_embedding_near_dedup(spark, sf_dir):
 
 ORACLE["op1_embedding_near_dedup"] = """
 WITH RECURSIVE usable AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
     ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
@@ -81,3 +81,19 @@ def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2, with_ids=False)
     return packed.drop("ids")
+
+
+@query
+def op8_warc_dictionary_writer(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), with_payload=False, revisit_bytes=1000).drop("payload")
+
+
+ORACLE["op8_warc_dictionary_writer"] = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, url, octet_length(b) AS n, sha1(b) AS h FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY n, h) AS latest FROM q)
+SELECT page_id, url, n AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM r
+"""

@@ -36,7 +36,7 @@ def _write(folder: str, tokenizer: str, end: int):
         for batch in batches:
             if writer is None:
                 system.create_dir(path.rpartition("/")[0], recursive=True)
-                stream = system.open_output_stream(path)
+                stream = system.open_output_stream(path, compression=None)
                 writer = Writer(stream)
             names = batch.column(0).fill_null(NO_ID).to_pylist()
             for doc, ids in zip(names, encode.batches(batch.column(1).to_pylist())):
