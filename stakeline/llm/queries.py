@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeline.llm import decontaminate, embeddings, langid, packing, simhash, suffix, token_files, warc
+from stakeline.llm import (
+    decontaminate,
+    embeddings,
+    langid,
+    packing,
+    simhash,
+    suffix,
+    token_files,
+    toxicity,
+    warc,
+)
 from stakeline.llm.tokens import public_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +107,8 @@ SELECT page_id, url, n AS payload_bytes, h AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> latest THEN latest END AS refers_to
 FROM r
 """
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
