@@ -11,6 +11,7 @@ from stakeline.llm import (
     embeddings,
     langid,
     packing,
+    quality,
     simhash,
     suffix,
     token_files,
@@ -112,3 +113,8 @@ FROM r
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"))
