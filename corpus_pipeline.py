@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stakeline.llm import simhash
-from stakeline.llm.common import new_path
+from stakeline.llm import decontaminate, langid, packing, simhash, suffix
+from stakeline.llm.common import fresh, new_path
+from stakeline.llm.tokens import public_tokenizer
+
+# A text whose best language scores less is in none of the languages that the profiles know.
+MIN_LANGUAGE_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the profiles know stay; those without a letter go."""
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    found = fresh(docs, "_language")
+    kept = docs.withColumn(found, langid.predictor(model)(F.col("text")))
+    known = (F.col(f"{found}.lang") != langid.UNKNOWN) & (F.col(f"{found}.score") >= MIN_LANGUAGE_SCORE)
+    return kept.where(known).drop(found)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +27,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, shingle=3, radius=3)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; bytes in strings of 200 bytes that occur twice are cut out of their texts."""
+    cut = suffix.drop_repeated(docs, length=200)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that tiles of a benchmark item cover to four fifths of the item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.drop_contaminated(docs, items, min_match=5, coverage=0.8)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids with their place in sequences of 1024."""
+    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+
+
 STAGES = [
+    ("language", language),
     ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", packed),
 ]
 
 # Fingerprints, n-gram profiles, suffix arrays and packing have no SQL form.
