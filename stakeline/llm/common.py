@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
+from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -14,14 +16,23 @@ from pyspark.sql import functions as F
 _stored: list[str] = []
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="llm-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, the context's checkpoint folder, or a temporary one if driver and executors
+    are one process.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_dir(context.applicationId)
     return folder.rstrip("/")
 
 
