@@ -11,6 +11,7 @@ from stakeline.config import CHAIN_PREFIX
 from stakeline.functions.addresses import ZERO, address, short_addr, to_text, with_text
 from stakeline.functions.amounts import to_tokens
 from stakeline.functions.links import delegate_anchor, explorer_url, html_link
+from stakeline.functions.times import up_to
 from stakeline.operators import (
     delegates,
     holders,
@@ -78,6 +79,25 @@ def scan_votes_changed(spark, sf_dir):
     return _plain(benchmark_tables(spark, sf_dir, "votes_changed").votes_changed)
 
 
+@query
+def scan_votes_changed_zoned(spark, sf_dir):
+    """Event times as instants, whatever the session's time zone."""
+    raw = raw_table(spark, sf_dir, "votes_changed")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("evt_block_time"))
+    return _plain(src.votes_changed(spark, raw.withColumn("evt_block_time", F.timestamp_micros(micros))))
+
+
+def _by_chain(spark, sf_dir, name: str) -> dict[str, DataFrame]:
+    raw = raw_table(spark, sf_dir, name)
+    return {c: raw.where(F.col("chain") == c).drop("chain") for c in CONFIG.chains}
+
+
+@query
+def scan_transfers_per_chain_tables(spark, sf_dir):
+    """One event table per chain."""
+    return _plain(src.transfers(spark, _by_chain(spark, sf_dir, "transfers")))
+
+
 @query
 def scan_balances(spark, sf_dir):
     return _plain(benchmark_tables(spark, sf_dir, "balances").balances)
@@ -101,7 +121,7 @@ def scan_category_labels(spark, sf_dir):
 @query
 def union_chains(spark, sf_dir):
     """One balance table per chain, one of them in base units only, the others in tokens only."""
-    raw = raw_table(spark, sf_dir, "balances").where(F.col("token_address") == TOKEN)
+    raw = raw_table(spark, sf_dir, "balances").where(F.lower("token_address") == TOKEN)
 
     def one(chain: str, spare: str) -> DataFrame:
         return raw.where(F.col("chain") == chain).drop("chain", spare)
@@ -152,6 +172,20 @@ def current_delegations(spark, sf_dir):
     return _plain(snapshots.current_delegations(t.delegate_changed, CONFIG.as_of))
 
 
+@query
+def current_delegations_asof(spark, sf_dir):
+    """A moment amid the events: later ones don't count."""
+    t = benchmark_tables(spark, sf_dir, "delegate_changed")
+    return _plain(snapshots.current_delegations(t.delegate_changed, "1998-06-15 02:00:00+02:00"))
+
+
+@query
+def current_delegations_per_chain_tables(spark, sf_dir):
+    """One event table per chain."""
+    changes = src.delegate_changed(spark, _by_chain(spark, sf_dir, "delegate_changed"))
+    return _plain(snapshots.current_delegations(changes, CONFIG.as_of))
+
+
 @query
 def current_delegations_single(spark, sf_dir):
     t = benchmark_tables(spark, sf_dir, "delegate_changed")
@@ -175,7 +209,8 @@ def _ledger(spark, sf_dir, **options) -> DataFrame:
     t = benchmark_tables(spark, sf_dir, *LEDGER)
     current = snapshots.current_delegations(t.delegate_changed, CONFIG.as_of)
     holders_now = pin(current.select("chain", "delegator"), "delegations")
-    return _plain(ledger.ledger_balances(t.transfers, holders_now, CONFIG.decimals, **options))
+    moved = t.transfers.where(up_to("evt_block_time", CONFIG.as_of))
+    return _plain(ledger.ledger_balances(moved, holders_now, CONFIG.decimals, **options))
 
 
 @query
@@ -393,13 +428,21 @@ def concentration(spark, sf_dir):
 @query
 def latest_holdings(spark, sf_dir):
     t = benchmark_tables(spark, sf_dir, "balances")
-    return _plain(holders.latest_holdings(t.balances, F.lit(TOKEN)).drop("units"))
+    return _plain(holders.latest_holdings(t.balances, TOKEN).drop("units"))
 
 
 @query
 def balance_at_ranks(spark, sf_dir):
     t = benchmark_tables(spark, sf_dir, "balances")
-    return holders.balance_at_ranks(holders.latest_holdings(t.balances, F.lit(TOKEN)), CONFIG.ks)
+    return holders.balance_at_ranks(pin(holders.latest_holdings(t.balances, TOKEN), "holders"), CONFIG.ks)
+
+
+@query
+def balance_at_ranks_distributed(spark, sf_dir):
+    """The form for more holders than one task ranks."""
+    t = benchmark_tables(spark, sf_dir, "balances")
+    held = pin(holders.latest_holdings(t.balances, TOKEN), "holders")
+    return holders.balance_at_ranks(held, CONFIG.ks, window_rows=0)
 
 
 # Links
@@ -474,5 +517,5 @@ def report_top_delegates(spark, sf_dir):
 @query
 def report_holders(spark, sf_dir):
     return reports.token_holders(
-        benchmark_tables(spark, sf_dir, "balances"), F.lit(TOKEN), CONFIG
+        benchmark_tables(spark, sf_dir, "balances"), TOKEN.upper().replace("X", "x", 1), CONFIG
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+
+from stakeline.functions.times import naive
 
 # Block explorers by chain.
 EXPLORERS = {
@@ -26,7 +28,7 @@ CHAIN_PREFIX = {
 class Config:
     """Report parameters.
 
-    ``as_of`` is the moment a report describes; ``None`` means now. The link prefixes are the
+    ``as_of`` is the moment a report describes, in UTC unless it says otherwise; ``None`` means now. The link prefixes are the
     pages the HTML columns point to and belong to whoever publishes the report.
     """
 
@@ -50,6 +52,12 @@ class Config:
     vote_page: str = "https://example.org/vote?address="
     breakdown_caption: str = "🔗 ✨"
 
+    @property
+    def backdated(self) -> bool:
+        """Whether ``as_of`` lies over a minute in the past, so that events after it may exist."""
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        return self.as_of is not None and naive(self.as_of) < now - timedelta(minutes=1)
+
     def at(self) -> Config:
         """The same parameters with ``as_of`` fixed, so that all jobs of a report share one clock."""
         if self.as_of is not None:

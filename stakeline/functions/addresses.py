@@ -23,6 +23,13 @@ def from_text(col: Column, strict: bool = True) -> Column:
     return F.to_binary(digits, kind) if strict else F.try_to_binary(digits, kind)
 
 
+def literal(token: Column | str | bytes) -> Column:
+    """An address given as bytes, as ``0x…`` text of any case, or as a binary column."""
+    if isinstance(token, Column):
+        return token
+    return F.lit(bytes(token)) if isinstance(token, (bytes, bytearray)) else address(token)
+
+
 def to_text(col: Column | str) -> Column:
     """Bytes to lower-case ``0x…`` text."""
     return F.concat(F.lit("0x"), F.lower(F.hex(col)))

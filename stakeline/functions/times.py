@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +11,20 @@ DAY = "yyyy-MM-dd"
 SECOND = "yyyy-MM-dd HH:mm:ss"
 
 
+def naive(as_of: str | datetime) -> datetime:
+    """A point in time as UTC wall-clock time; one without a zone, or text without one, is in UTC."""
+    at = datetime.fromisoformat(as_of) if isinstance(as_of, str) else as_of
+    return at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)
+
+
 def moment(as_of: str | datetime) -> Column:
     """Literal point in time."""
-    text = as_of.isoformat(sep=" ") if isinstance(as_of, datetime) else as_of
-    return F.lit(text).cast("timestamp_ntz")
+    return F.lit(naive(as_of).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def up_to(ts: Column | str, as_of: str | datetime) -> Column:
+    """Whether ``ts`` is not after ``as_of``."""
+    return (F.col(ts) if isinstance(ts, str) else ts) <= moment(as_of)
 
 
 def before(as_of: str | datetime, lookback: str) -> Column:
@@ -28,5 +38,5 @@ def elapsed_days(ts: Column | str, as_of: str | datetime) -> Column:
 
 
 def utc(ts: Column) -> Column:
-    """Zoned timestamp as UTC wall-clock time."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    """Zoned timestamp as UTC wall-clock time, counted from the epoch: local time may occur twice."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01").cast("timestamp_ntz"))

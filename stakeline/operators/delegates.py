@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from stakeline.functions.addresses import to_text
 from stakeline.functions.amounts import change_ratio, share, to_tokens
 from stakeline.functions.links import delegate_anchor, html_link
-from stakeline.scale import with_row
+from stakeline.scale import WINDOW_ROWS, Sized, pin, top_rows, with_row
 
 OTHER = "Other"
 
 
-def top_delegates(power: DataFrame, n: int) -> DataFrame:
-    """Distinct delegates that are in the first ``n`` now or were before: at most 2n rows.
-
-    Each side is a distributed top-n, so no global ranking of all delegates takes place.
-    """
-    now, then = F.col("units").desc(), F.col("prev_units").desc()
-    leaders = power.orderBy(now, then, "delegate").limit(n)
-    former = power.orderBy(then, now, "delegate").limit(n)
-    return leaders.select("delegate").union(former.select("delegate")).distinct()
+def top_delegates(power: Sized, n: int, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``delegate, units`` of those in the first ``n`` now or before; kept, at most 2n rows."""
+    now, then, name = F.col("units").desc(), F.col("prev_units").desc(), F.col("delegate")
+    leaders = top_rows(power, [now, then, name], n, window_rows)
+    former = top_rows(power, [then, now, name], n, window_rows)
+    both = leaders.select("delegate", "units").union(former.select("delegate", "units"))
+    return pin(both.distinct(), "top").df
 
 
 def top_n_with_other(
@@ -37,7 +35,7 @@ def top_n_with_other(
     in_top = F.col("_top").isNotNull()
     by_power = ["units", "prev_units"]
     groups = (
-        power.join(F.broadcast(top.withColumn("_top", F.lit(True))), "delegate", "left")
+        power.join(F.broadcast(top.select("delegate", F.lit(True).alias("_top"))), "delegate", "left")
         .join(delegators, "delegate", "left")
         .join(F.broadcast(labels.withColumnRenamed("address", "delegate")), "delegate", "left")
         .groupBy(

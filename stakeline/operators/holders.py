@@ -4,49 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakeline.functions.addresses import literal
 from stakeline.functions.amounts import to_tokens
 from stakeline.operators.snapshots import latest_per_key
-from stakeline.scale import with_row
+from stakeline.scale import WINDOW_ROWS, Sized, pin, small, top_rows, with_row
 
 
-def latest_holdings(balances: DataFrame, token: Column) -> DataFrame:
-    """Last non-zero balance of the token per (chain, address).
+def latest_holdings(balances: DataFrame, token: Column | str | bytes) -> DataFrame:
+    """Last non-zero balance of the token, given by its address, per (chain, address).
 
     Zero balances go first, so an emptied wallet keeps its last non-zero balance.
     """
-    held = balances.where((F.col("token_address") == token) & (F.col("balance") != 0))
+    held = balances.where((F.col("token_address") == literal(token)) & (F.col("balance") != 0))
     return latest_per_key(held, ["chain", "address"], ["block_time", "units"]).select(
         "address", "balance", "units", "chain"
     )
 
 
-def balance_at_ranks(holders: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """One row: balance of the k-th largest holder across chains, NULL beyond the last holder.
+def _order() -> list[Column]:
+    return [F.col("units").desc_nulls_last(), F.col("address"), F.col("chain")]
 
-    A distributed top-k; one task sees at most ``max(ks)`` rows.
-    """
-    top = (
-        holders.select("units", "balance", "address", "chain")
-        .orderBy(F.col("units").desc(), "address", "chain")
-        .limit(max(ks))
-    )
-    window = Window.orderBy(F.col("units").desc(), "address", "chain")
-    ranked = top.withColumn("rank", F.row_number().over(window))
-    return ranked.selectExpr(
-        *[f"max(CASE WHEN rank = {k} THEN balance END) AS top_{k}_balance" for k in ks]
-    )
+
+def balance_at_ranks(holders: Sized, ks: Sequence[int], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """One row: balance of the k-th largest holder across chains, NULL beyond the last holder."""
+    top = top_rows(Sized(holders.df.select("units", "balance", "address", "chain"), holders.rows), _order(), max(ks), window_rows)
+    return top.agg(*[F.max(F.when(F.col("rank") == k, F.col("balance"))).alias(f"top_{k}_balance") for k in ks])
 
 
-def holder_snapshot(holders: DataFrame, ks: Sequence[int], decimals: int = 18) -> DataFrame:
-    """Holders by balance with grand total, chain total, rank thresholds and holder count."""
-    totals = holders.agg(F.sum("units").alias("all_units"), F.count("address").alias("holders"))
-    # One row per chain.
-    per_chain = holders.groupBy("chain").agg(F.sum("units").alias("chain_units"))
-    ordered = holders.orderBy(F.col("units").desc(), "address", "chain")
-    out = ordered.join(F.broadcast(per_chain), "chain")
+def holder_snapshot(holders: Sized, ks: Sequence[int], decimals: int = 18) -> DataFrame:
+    """Holders by balance with grand total, chain total, rank thresholds and holder count.
+
+    Totals and the count come from one kept aggregate with a row per chain.
+    """
+    figures = pin(
+        holders.df.groupBy("chain").agg(F.sum("units").alias("chain_units"), F.count("address").alias("holders")),
+        "holder-totals",
+    )
+    totals = figures.df.agg(F.sum("chain_units").alias("all_units"), F.sum("holders").alias("holders"))
+    per_chain = small(Sized(figures.df.select(F.col("chain").alias("_chain"), "chain_units"), figures.rows))
+    out = holders.df.orderBy(*_order()).join(per_chain, F.col("chain").eqNullSafe(F.col("_chain")), "left")
     return with_row(with_row(out, totals), balance_at_ranks(holders, ks)).select(
         "address",
         "balance",

@@ -10,7 +10,7 @@ from stakeline.scale import BROADCAST_ROWS, Sized, aggregate_for
 
 
 def _joined(col: str) -> Column:
-    """Distinct non-null values, sorted and comma-separated."""
+    """Distinct non-null values, sorted and comma-separated; those of one address meet in one task."""
     return F.concat_ws(",", F.array_sort(F.collect_set(col))).alias(col)
 
 

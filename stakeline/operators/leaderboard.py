@@ -14,7 +14,7 @@ from stakeline.scale import (
     left_lookup,
     pin,
     rank_rows,
-    sized,
+    small,
     with_row,
 )
 
@@ -97,15 +97,37 @@ def delegator_leaderboard_multi(
     A repeated address-book entry repeats the row, takes a rank of its own and counts in the
     chain's total. Ranks, shares and totals precede the filter.
     """
+    ranked = ranked_delegators(holdings, names, broadcast_rows, window_rows)
+    return with_shares(ranked, chain_units(ranked), decimals, dust)
+
+
+def ranked_delegators(
+    holdings: Sized,
+    names: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    window_rows: int = WINDOW_ROWS,
+) -> DataFrame:
+    """Delegators of all chains with the names of their delegates, ranked within their chain; kept."""
     listed = left_lookup(holdings, _book(names), "to_delegate", broadcast_rows)
-    ranked = rank_rows(listed, ["chain"], _order(), window_rows)
-    if listed.rows <= window_rows:
-        # Totals, thresholds and the list all read the ranks; a larger table is stored already.
-        ranked = pin(ranked, "ranked").df
-    # One row per chain.
-    totals = ranked.groupBy("chain").agg(F.sum("units").alias("chain_units"))
-    shares = ranked.join(F.broadcast(totals), "chain").select(
-        "rank",
+    return pin(rank_rows(listed, ["chain"], _order(), window_rows), "ranked").df
+
+
+def listed_delegators(holdings: Sized, names: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same without ranks, not kept."""
+    return left_lookup(holdings, _book(names), "to_delegate", broadcast_rows).df
+
+
+def chain_units(rows: DataFrame) -> DataFrame:
+    """Total of each chain; kept, one row per chain."""
+    return small(pin(rows.groupBy("chain").agg(F.sum("units").alias("chain_units")), "chain-units"))
+
+
+def with_shares(rows: DataFrame, totals: DataFrame, decimals: int = 18, dust: float = 1e-12) -> DataFrame:
+    """Amounts, shares and totals of listed or ranked delegators, those above the dust only."""
+    totals = totals.withColumnRenamed("chain", "_chain")
+    joined = rows.join(totals, F.col("chain").eqNullSafe(F.col("_chain")), "left")
+    shares = joined.select(
+        *(["rank"] if "rank" in rows.columns else []),
         "chain",
         "delegator",
         "units",
@@ -121,5 +143,5 @@ def delegator_leaderboard_multi(
 
 
 def global_rank(leaderboard: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Re-rank a filtered multi-chain leaderboard across chains."""
-    return rank_rows(sized(leaderboard.drop("rank")), [], [*_order(), F.col("chain")], window_rows)
+    """Re-rank a filtered multi-chain leaderboard across chains; the leaderboard is kept first."""
+    return rank_rows(pin(leaderboard.drop("rank"), "board"), [], [*_order(), F.col("chain")], window_rows)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.functions.amounts import to_tokens
+from stakeline.functions.addresses import to_text
+from stakeline.functions.amounts import UNITS, to_tokens
 from stakeline.scale import BROADCAST_ROWS, Sized, aggregate_for
 
 
@@ -40,10 +41,17 @@ def ledger_balances(
     so current delegations become holdings. ``legs`` may be ``debits`` or ``credits`` for one side
     only.
     """
-    return aggregate_for(
+    summed = aggregate_for(
         legs(transfers),
         holders,
         ["chain", "delegator"],
-        F.sum("units").alias("units"),
+        F.try_sum("units").alias("units"),
+        F.count("units").alias("_legs"),
         broadcast_rows=broadcast_rows,
-    ).withColumn("w_delegated", to_tokens("units", decimals))
+    )
+    # A sum that overflows is NULL, and stops the run only if somebody asked for it.
+    overflow = F.raise_error(F.concat(F.lit("balance over 38 digits: "), to_text("delegator"))).cast(UNITS)
+    units = F.when(F.col("units").isNull() & (F.col("_legs") > 0), overflow).otherwise(F.col("units"))
+    return (
+        summed.withColumn("units", units).drop("_legs").withColumn("w_delegated", to_tokens("units", decimals))
+    )

@@ -3,31 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stakeline.config import k_label
+from stakeline.functions.amounts import to_tokens
 
 
 def rank_thresholds(leaderboard: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Tokens held at rank k, per chain; NULL if that rank does not exist or was filtered away."""
-    return leaderboard.groupBy("chain").agg(
-        *[
-            F.expr(f"max(CASE WHEN rank = {k} THEN w_delegated END) AS tokens_for_top_{k_label(k)}")
-            for k in ks
-        ]
+    # Only rows at those ranks carry an amount; where the ranks are stored, the scan skips the rest.
+    wanted = leaderboard.where(F.col("rank").isin(*ks)).select("chain", "rank", "w_delegated")
+    marks = wanted.groupBy("chain").agg(
+        *[F.max(F.when(F.col("rank") == k, F.col("w_delegated"))).alias(f"tokens_for_top_{k_label(k)}") for k in ks]
     )
+    chains = leaderboard.select("chain").distinct()
+    names = [f"tokens_for_top_{k_label(k)}" for k in ks]
+    marks = marks.withColumnRenamed("chain", "_chain")
+    return chains.join(marks, F.col("chain").eqNullSafe(F.col("_chain")), "left").select("chain", *names)
 
 
 def rank_thresholds_wide(
     leaderboard: DataFrame, ks: Sequence[int], prefixes: dict[str, str]
 ) -> DataFrame:
     """The same as one row, a column per chain and k: ``<prefix>_top_<k>``."""
-    return rank_thresholds(leaderboard, ks).selectExpr(
+    wanted = leaderboard.where(F.col("rank").isin(*ks))
+    return wanted.agg(
+        *[
+            F.max(F.when((F.col("chain") == chain) & (F.col("rank") == k), F.col("w_delegated"))).alias(
+                f"{prefix}_top_{k_label(k)}"
+            )
+            for chain, prefix in prefixes.items()
+            for k in ks
+        ]
+    )
+
+
+def wide_thresholds(marks: DataFrame, ks: Sequence[int], prefixes: dict[str, str]) -> DataFrame:
+    """``rank_thresholds`` turned into one row, as ``rank_thresholds_wide`` gives it."""
+    return marks.agg(
         *[
-            f"max(CASE WHEN chain = '{chain}' THEN tokens_for_top_{k_label(k)} END)"
-            f" AS {prefix}_top_{k_label(k)}"
+            F.max(F.when(F.col("chain") == chain, F.col(f"tokens_for_top_{k_label(k)}"))).alias(f"{prefix}_top_{k_label(k)}")
             for chain, prefix in prefixes.items()
             for k in ks
         ]
@@ -43,14 +61,12 @@ def chain_totals(
     empty chain makes it NULL.
     """
     totals = {
-        f"total_w_delegated_{c.lower()}": f"sum(CASE WHEN chain = '{c}' THEN units END)" for c in chains
+        f"total_w_delegated_{c.lower()}": F.sum(F.when(F.col("chain") == c, F.col("units"))) for c in chains
     }
-    grand = " + ".join(totals.values()) if strict else "sum(units)"
-    return balances.selectExpr(
-        *[
-            f"CAST({total} AS DOUBLE) / {10**decimals}D AS {name}"
-            for name, total in {**totals, "total_w_delegated_all": grand}.items()
-        ]
+    grand = reduce(Column.__add__, totals.values()) if strict else F.sum("units")
+    return balances.agg(
+        *[to_tokens(total, decimals).alias(name) for name, total in totals.items()],
+        to_tokens(grand, decimals).alias("total_w_delegated_all"),
     )
 
 
@@ -77,10 +93,12 @@ def range_label(edges: Sequence[int], last: int, i: int) -> str:
 
 def holding_histogram(leaderboard: DataFrame, edges: Sequence[int], last: int) -> DataFrame:
     """Rows per holding size, in the order of the sizes; empty buckets are absent."""
-    cases = " ".join(f"WHEN w_delegated < {edge} THEN {i}" for i, edge in enumerate(edges))
+    bucket = F.lit(len(edges))
+    for i, edge in reversed(list(enumerate(edges))):
+        bucket = F.when(F.col("w_delegated") < edge, i).otherwise(bucket)
     labels = F.array(*[F.lit(range_label(edges, last, i)) for i in range(len(edges) + 1)])
     return (
-        leaderboard.groupBy(F.expr(f"CASE {cases} ELSE {len(edges)} END AS bucket"))
+        leaderboard.groupBy(bucket.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("num_of_stakers"))
         .orderBy("bucket")
         .select(F.get(labels, F.col("bucket")).alias("w_delegated_range"), "num_of_stakers")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeline.functions.amounts import to_tokens
-from stakeline.functions.times import DAY, SECOND, before, elapsed_days
+from stakeline.functions.times import DAY, SECOND, before, elapsed_days, up_to
 
 # Log position of an event. Time alone ties within a block, so block and index follow it.
 EVENT_ORDER = ("evt_block_time", "evt_block_number", "evt_index")
@@ -22,7 +22,7 @@ def latest_per_key(
     """Rows with the highest ``order`` per key: one row, or all tied rows with ``ties="all"``.
 
     Spark cuts each map task to its own winners ahead of the shuffle, so a key with any number of
-    events sends one row per task.
+    events sends one row per task. With ``ties="all"`` the rows of a key that tie meet in one task.
     """
     place = F.row_number() if ties == "first" else F.dense_rank()
     window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
@@ -35,8 +35,8 @@ def current_delegations(
     order: Sequence[str] = EVENT_ORDER,
     with_time: bool = True,
 ) -> DataFrame:
-    """Who each (chain, delegator) delegates to now, and since when."""
-    latest = latest_per_key(changes, ["chain", "delegator"], order)
+    """Who each (chain, delegator) delegates to at ``as_of``, and since when; later events don't count."""
+    latest = latest_per_key(changes.where(up_to("evt_block_time", as_of)), ["chain", "delegator"], order)
     return latest.select(
         "chain",
         "delegator",
@@ -78,12 +78,13 @@ def voting_power_snapshot(
 
 
 def voting_power_change(votes: DataFrame, as_of: str | datetime, lookback: str) -> DataFrame:
-    """Base units now (``units``) and before the lookback (``prev_units``, 0 if none) per delegate.
+    """Base units at ``as_of`` (``units``) and before the lookback (``prev_units``, 0 if none) per delegate.
 
-    One pass over the events: each delegate is first cut to its last event on either side of
+    Events after ``as_of`` don't count. One pass over the events: each delegate is first cut to its last event on either side of
     ``as_of - lookback``, whatever the number of events, and those two rows then meet.
     """
     zero = F.lit(0).cast("decimal(38,0)")
+    votes = votes.where(up_to("evt_block_time", as_of))
     earlier = F.coalesce(F.col("evt_block_time") < before(as_of, lookback), F.lit(False))
     sides = votes.select(
         "delegate", F.col("new_votes").alias("units"), *LOG_ORDER, earlier.alias("earlier")

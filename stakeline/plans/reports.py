@@ -1,8 +1,9 @@
 """The seven delegation reports.
 
-A report stores its shared intermediate tables (see ``stakeline.scale``) when it is called and
-returns a DataFrame whose result the caller may write, collect or query further. Pass a ``Config``
-with a fixed ``as_of`` to make a report repeatable.
+A report keeps its shared intermediate tables (see ``stakeline.scale``) when it is called and
+returns a DataFrame whose result the caller may write, collect or query further; ``scale.release``
+or a ``scale.scratch`` block then removes them. Pass a ``Config`` with a fixed ``as_of`` to make a
+report repeatable: events after it don't count.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from stakeline.config import CHAIN_PREFIX, Config, k_label
 from stakeline.functions.addresses import ZERO, address, to_text, with_text
+from stakeline.functions.amounts import share, to_tokens
 from stakeline.functions.links import explorer_url, html_link
-from stakeline.functions.times import moment
+from stakeline.functions.times import moment, up_to
 from stakeline.operators import delegates, holders, labels, leaderboard, ledger, metrics, snapshots
-from stakeline.scale import Sized, pin, with_row
+from stakeline.scale import Sized, pin, small, with_row
 from stakeline.sources.tables import Tables
 
 
@@ -37,12 +39,24 @@ def current_state(
     wanted = F.col("chain").isin(*cfg.chains) if chain is None else F.col("chain") == chain
     changes, transfers = tables.delegate_changed.where(wanted), tables.transfers.where(wanted)
     order = snapshots.EVENT_ORDER if chain is None else snapshots.LOG_ORDER
+    transfers = _moved_by(transfers, cfg)
     current = snapshots.current_delegations(changes, cfg.as_of, order, with_time)
     delegations = pin(current.drop("evt_block_time"), "delegations")
     holdings = ledger.ledger_balances(transfers, delegations, cfg.decimals).drop("w_delegated")
     return State(delegations, pin(holdings, "holdings"))
 
 
+def _moved_by(transfers: DataFrame, cfg: Config) -> DataFrame:
+    """Transfers up to ``as_of``. Without their times only the present can be described."""
+    if not cfg.backdated:
+        return transfers
+    timeless = F.col("evt_block_time").isNull()
+    if "evt_block_time" not in transfers.columns:
+        timeless, transfers = F.lit(True), transfers.withColumn("evt_block_time", moment(cfg.as_of))
+    refused = F.raise_error(F.lit("as_of lies in the past, but a transfer has no evt_block_time")).cast("boolean")
+    return transfers.where(F.when(timeless, refused).otherwise(up_to("evt_block_time", cfg.as_of)))
+
+
 def _links(cfg: Config) -> dict[str, Column]:
     delegator, delegate = to_text("delegator"), to_text("delegate_address")
     return {
@@ -68,11 +82,12 @@ def _report(
     """Sort as the report does, then append repeated figures and links to the sorted rows.
 
     ``per_chain`` frames have one row per chain, ``one_row`` frames a single row. Appending them
-    after the sort keeps its shuffle narrow; broadcast joins keep the order.
+    after the sort keeps its shuffle narrow; broadcast joins keep the order (there are few chains).
     """
     out = board.orderBy("rank", F.col("units").desc(), "chain", "delegator", "delegate_name")
     for figures in per_chain:
-        out = out.join(F.broadcast(figures), "chain", "left")
+        figures = figures.withColumnRenamed("chain", "_chain")
+        out = out.join(figures, F.col("chain").eqNullSafe(F.col("_chain")), "left").drop("_chain")
     for figures in one_row:
         out = with_row(out, figures)
     links = _links(cfg)
@@ -119,45 +134,70 @@ def single_chain_delegators(tables: Tables, chain: str, cfg: Config = Config())
     return _report(board, cfg, columns)
 
 
-def _multi_board(tables: Tables, cfg: Config, state: State) -> DataFrame:
-    return leaderboard.delegator_leaderboard_multi(
-        state.holdings, tables.address_names, cfg.decimals, cfg.dust
+@dataclass(frozen=True)
+class Board:
+    """The ranked list of all chains and what is repeated beside it, read from a few kept rows."""
+
+    rows: DataFrame
+    per_chain: DataFrame
+    totals: DataFrame
+    stakers: DataFrame
+
+
+def _multi_board(tables: Tables, cfg: Config, state: State, base: str, strict: bool = False) -> Board:
+    """Ranks are kept; one pass over them gives each chain's total and the rows at the wanted ranks.
+
+    ``per_chain`` has the thresholds and unique delegators of a chain, ``totals`` the totals of the
+    chains as one row. ``base`` says which rows of the state count as delegators.
+    """
+    ranked = leaderboard.ranked_delegators(state.holdings, tables.address_names)
+    at = [F.col("rank") == k for k in cfg.ks]
+    fields = F.struct("units", "days_delegated")
+    figures = pin(
+        ranked.groupBy("chain").agg(
+            F.sum("units").alias("chain_units"), *[F.max(F.when(hit, fields)).alias(f"_at_{k}") for hit, k in zip(at, cfg.ks)]
+        ),
+        "figures",
     )
+    units = small(Sized(figures.df.select("chain", "chain_units"), figures.rows))
+    rows = leaderboard.with_shares(ranked, units, cfg.decimals, cfg.dust)
+
+    def mark(k: int) -> Column:
+        held = F.col(f"_at_{k}")
+        tokens = to_tokens(held["units"], cfg.decimals)
+        kept = (tokens > cfg.dust) & (share(held["units"], "chain_units") > cfg.dust) & (held["days_delegated"] > 0)
+        return F.when(kept, tokens).alias(f"tokens_for_top_{k_label(k)}")
+
+    delegators = (state.delegations if base == "delegations" else state.holdings).df
+    unique = metrics.unique_delegators(delegators).withColumnRenamed("chain", "_chain")
+    marks = figures.df.select("chain", *[mark(k) for k in cfg.ks])
+    per_chain = pin(marks.join(unique, F.col("chain").eqNullSafe(F.col("_chain")), "left").drop("_chain"), "per-chain")
+    totals = pin(metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals, strict), "totals")
+    return Board(rows, small(per_chain), totals.df, metrics.distinct_stakers(rows))
 
 
 def all_chain_delegators(tables: Tables, cfg: Config = Config()) -> DataFrame:
     """Delegators of every chain, ranked per chain, with thresholds, staker count and grand total."""
     cfg = cfg.at()
-    state = current_state(tables, cfg)
-    board = _multi_board(tables, cfg, state)
-    totals = metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals)
+    board = _multi_board(tables, cfg, current_state(tables, cfg), "holdings")
     columns = [*_MULTI, *_thresholds(cfg), "num_of_stakers", "total_w_delegated_all", "unique_delegators"]
-    return _report(
-        board,
-        cfg,
-        columns,
-        [metrics.rank_thresholds(board, cfg.ks), metrics.unique_delegators(state.holdings.df)],
-        [metrics.distinct_stakers(board), totals.select("total_w_delegated_all")],
-    )
+    totals = board.totals.select("total_w_delegated_all")
+    return _report(board.rows, cfg, columns, [board.per_chain], [board.stakers, totals])
 
 
 def holding_size_ranges(tables: Tables, cfg: Config = Config()) -> DataFrame:
     """Number of (chain, delegator) rows per holding size."""
     cfg = cfg.at()
-    state = current_state(tables, cfg)
-    board = leaderboard.delegator_leaderboard_multi(
-        state.holdings, tables.address_names, cfg.decimals, cfg.dust
-    )
-    return metrics.holding_histogram(board, cfg.edges, cfg.last_edge_label)
+    listed = leaderboard.listed_delegators(current_state(tables, cfg).holdings, tables.address_names)
+    rows = leaderboard.with_shares(listed, leaderboard.chain_units(listed), cfg.decimals, cfg.dust)
+    return metrics.holding_histogram(rows, cfg.edges, cfg.last_edge_label)
 
 
 def chain_totals_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
     """``all_chain_delegators`` with the total of each chain as a column."""
     cfg = cfg.at()
-    state = current_state(tables, cfg)
-    board = _multi_board(tables, cfg, state)
-    totals = metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals)
-    chain_columns = [c for c in totals.columns if c != "total_w_delegated_all"]
+    board = _multi_board(tables, cfg, current_state(tables, cfg), "holdings")
+    chain_columns = [c for c in board.totals.columns if c != "total_w_delegated_all"]
     columns = [
         *_MULTI,
         *_thresholds(cfg),
@@ -166,13 +206,7 @@ def chain_totals_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
         "unique_delegators",
         "total_w_delegated_all",
     ]
-    return _report(
-        board,
-        cfg,
-        columns,
-        [metrics.rank_thresholds(board, cfg.ks), metrics.unique_delegators(state.holdings.df)],
-        [metrics.distinct_stakers(board), totals],
-    )
+    return _report(board.rows, cfg, columns, [board.per_chain], [board.stakers, board.totals])
 
 
 def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
@@ -182,11 +216,9 @@ def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
     chain has no balance.
     """
     cfg = cfg.at()
-    state = current_state(tables, cfg)
-    board = _multi_board(tables, cfg, state)
-    totals = metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals, strict=True)
+    board = _multi_board(tables, cfg, current_state(tables, cfg), "delegations", strict=True)
     prefixes = {c: CHAIN_PREFIX.get(c, c.lower()) for c in cfg.chains}
-    wide = metrics.rank_thresholds_wide(board, cfg.ks, prefixes)
+    wide = metrics.wide_thresholds(board.per_chain, cfg.ks, prefixes)
     columns = [
         "rank",
         "blockchain",
@@ -196,42 +228,34 @@ def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
         "last_refresh",
         "total_w_delegated_blockchain",
         *_thresholds(cfg),
-        *totals.columns,
+        *board.totals.columns,
         "unique_delegators",
         *wide.columns,
     ]
-    return _report(
-        board,
-        cfg,
-        columns,
-        [metrics.rank_thresholds(board, cfg.ks), metrics.unique_delegators(state.delegations.df)],
-        [totals, wide],
-    )
+    return _report(board.rows, cfg, columns, [board.per_chain], [board.totals, wide])
 
 
-def delegate_power(tables: Tables, cfg: Config) -> DataFrame:
+def delegate_power(tables: Tables, cfg: Config) -> Sized:
     """Base units per delegate now and before the lookback, the zero address left out; stored."""
     votes = tables.votes_changed.where(
         (F.col("chain") == cfg.votes_chain) & (F.col("delegate") != address(ZERO))
     )
-    return pin(snapshots.voting_power_change(votes, cfg.as_of, cfg.lookback), "power").df
+    return pin(snapshots.voting_power_change(votes, cfg.as_of, cfg.lookback), "power")
 
 
 def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
     """Top delegates with their labels, and the collapsed rest: at most 2 * top_n + 1 rows."""
     power = delegate_power(tables, cfg)
     top = delegates.top_delegates(power, cfg.top_n)
-    powered = power.where("units > 0").join(F.broadcast(top), "delegate", "left_semi")
+    powered = top.where("units > 0").select(F.col("delegate").alias("address"))
     named = labels.resolve_labels(
-        Sized(powered.select(F.col("delegate").alias("address")), 2 * cfg.top_n),
-        tables.address_names,
-        tables.ens,
-        tables.labels,
-        cfg.label_category,
+        Sized(powered, 2 * cfg.top_n), tables.address_names, tables.ens, tables.labels, cfg.label_category
     )
-    changes = tables.delegate_changed.where(F.col("chain") == cfg.votes_chain)
+    named = pin(named, "labels").df
+    at_chain = F.col("chain") == cfg.votes_chain
+    changes = tables.delegate_changed.where(at_chain & up_to("evt_block_time", cfg.as_of))
     counts = snapshots.delegators_per_delegate(changes)
-    return delegates.top_n_with_other(power, top, counts, named, cfg.decimals)
+    return delegates.top_n_with_other(power.df, top, counts, named, cfg.decimals)
 
 
 def top_delegates(tables: Tables, cfg: Config = Config()) -> DataFrame:
@@ -249,7 +273,7 @@ def top_delegates(tables: Tables, cfg: Config = Config()) -> DataFrame:
     )
 
 
-def token_holders(tables: Tables, token: Column, cfg: Config = Config()) -> DataFrame:
+def token_holders(tables: Tables, token: Column | str | bytes, cfg: Config = Config()) -> DataFrame:
     """Latest non-zero balance of the token per holder and chain, with totals and thresholds."""
-    held = pin(holders.latest_holdings(tables.balances, token), "holders").df
+    held = pin(holders.latest_holdings(tables.balances, token), "holders")
     return with_text(holders.holder_snapshot(held, cfg.ks, cfg.decimals))

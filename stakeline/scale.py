@@ -1,22 +1,28 @@
 """Building blocks that keep wide steps spread over the cluster.
 
-Reports share a few intermediate tables. ``pin`` writes such a table to the cluster's shared
-checkpoint folder, which cuts lineage, survives lost executors, and gives an exact row count; the
-count then decides between the quick form of a step and the form that has no size limit.
+Reports share a few intermediate tables. ``pin`` keeps such a table: in the cluster's shared
+checkpoint folder if ``spark.checkpoint.dir`` names one, which cuts lineage and survives lost
+executors, else persisted with its lineage. Either gives an exact row count; the count then decides
+between the quick form of a step and the form that has no size limit. Both give the same rows.
+``release``, or a ``with scratch(spark):`` block around a report and what is done with its result,
+removes what was kept.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from uuid import uuid4
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast table holds at most this many narrow rows (some tens of MB on each executor).
+# A broadcast table holds at most this many rows, and this many characters of text.
 BROADCAST_ROWS = 200_000
+BROADCAST_TEXT = 64 << 20
 # Key hashes that take the room of one such row.
 HASHES_PER_ROW = 10
 # A window group handled by one task holds at most this many rows.
@@ -24,6 +30,9 @@ WINDOW_ROWS = 1_000_000
 # A join key with more rows than this is split.
 HOT_ROWS = 1_000_000
 
+# What ``pin`` has kept: paths of stored tables and persisted frames.
+_kept: list[str | DataFrame] = []
+
 
 @dataclass(frozen=True)
 class Sized:
@@ -38,31 +47,57 @@ def sized(df: DataFrame) -> Sized:
     return Sized(df, df.count())
 
 
-def work_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stakeline-"))
-    return context.getCheckpointDir()
+def work_dir(spark: SparkSession) -> str | None:
+    """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``; None if unset."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def pin(df: DataFrame, name: str) -> Sized:
-    """Store ``df`` once so that its consumers neither recompute it nor depend on executors.
+    """Keep ``df`` so that its consumers don't recompute it.
 
-    The tables of one application share a folder, ``<work_dir>/stakeline/<application id>``.
+    Stored tables of one application share a folder, ``<work_dir>/stakeline/<application id>``.
     """
     spark = df.sparkSession
-    folder = f"{work_dir(spark).rstrip('/')}/stakeline/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid4().hex}"
+    folder = work_dir(spark)
+    if folder is None:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _kept.append(kept)
+        return sized(kept)
+    path = f"{folder.rstrip('/')}/stakeline/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
+    _kept.append(path)
     df.write.parquet(path)
     return sized(spark.read.schema(df.schema).parquet(path))
 
 
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Remove what was kept (the first ``since`` of it stay); results that read it must be done."""
+    removed = 0
+    while len(_kept) > since:
+        kept = _kept.pop()
+        if isinstance(kept, str):
+            path = spark._jvm.org.apache.hadoop.fs.Path(kept)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            kept.unpersist()
+        removed += 1
+    return removed
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was kept within it."""
+    before = len(_kept)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def small(table: Sized) -> DataFrame:
+    """``table``, broadcast if its count allows it."""
+    return F.broadcast(table.df) if table.rows <= BROADCAST_ROWS else table.df
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Append the columns of a one-row frame to every row, by one scalar subquery."""
     return df.withColumn("_row", row.select(F.struct("*")).scalar()).select("*", "_row.*").drop("_row")
@@ -79,7 +114,8 @@ def aggregate_for(
 
     A short list filters the rows ahead of the aggregate, by hash where the join that follows is
     exact anyway. A long one meets only the groups: partial aggregation in the map tasks collapses
-    hot groups before the shuffle, and the join reuses the partitioning of the aggregate.
+    hot groups before the shuffle, and the join reuses the partitioning of the aggregate. That form
+    also aggregates groups nobody asked for, so ``aggs`` must not raise for any group.
     """
     on = list(on)
     if set(wanted.df.columns) == set(on) and wanted.rows <= broadcast_rows:
@@ -98,16 +134,18 @@ def left_lookup(
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> Sized:
-    """``left.join(right, key, "left")`` for distinct left rows and a skewed key.
+    """``left.join(right, key, "left")`` for a skewed key.
 
-    Beyond broadcast size, keys with more than ``hot_rows`` left rows are cut into slices of about
+    Beyond broadcast size (in rows, or in characters of text), keys with more than ``hot_rows`` left rows are cut into slices of about
     that size, and their right rows are repeated once per slice. There are at most
     ``left.rows / hot_rows`` hot keys. The result of that form is pinned.
     """
     right = right.where(F.col(key).isNotNull())
-    repeats = right.groupBy(key).count()
-    size = repeats.agg(F.sum("count").alias("rows"), F.max("count").alias("most")).first()
-    if (size["rows"] or 0) <= broadcast_rows:
+    texts = [F.coalesce(F.length(f.name), F.lit(0)) for f in right.schema.fields if isinstance(f.dataType, T.StringType)]
+    width = sum(texts, F.lit(0)).cast("long")
+    repeats = right.groupBy(key).agg(F.count("*").alias("count"), F.sum(width).alias("text"))
+    size = repeats.agg(F.sum("count").alias("rows"), F.max("count").alias("most"), F.sum("text").alias("text")).first()
+    if (size["rows"] or 0) <= broadcast_rows and (size["text"] or 0) <= BROADCAST_TEXT:
         joined = left.df.join(F.broadcast(right), key, "left")
         return Sized(joined, left.rows * max(size["most"] or 0, 1))
     hot = (
@@ -117,16 +155,17 @@ def left_lookup(
         .where(F.col("count") > hot_rows)
         .select(key, F.ceil(F.col("count") / hot_rows).alias("_slices"))
     )
+    hot = small(pin(hot, "hot-keys"))
     slices = F.coalesce("_slices", F.lit(1))
     # A NULL key matches nothing, so its rows may go anywhere.
     spread = F.xxhash64(*[c for c in left.df.columns if c != key])
     cut_left = (
-        left.df.join(F.broadcast(hot), key, "left")
+        left.df.join(hot, key, "left")
         .withColumn("_slice", F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, slices)))
         .drop("_slices")
     )
     cut_right = (
-        right.join(F.broadcast(hot), key, "left")
+        right.join(hot, key, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), slices.cast("long") - 1)))
         .drop("_slices")
     )
@@ -139,9 +178,9 @@ def rank_rows(
     """Add ``rank`` = ROW_NUMBER() OVER (PARTITION BY by ORDER BY order), for few, large groups.
 
     A table of at most ``window_rows`` rows goes through a plain window. A larger one is sorted
-    over the whole cluster (one range shuffle) and stored with each row's place; the rank is the
-    place within the sorted slice plus the rows of the same group in earlier slices. The table of
-    those offsets has one row per slice and group.
+    over the whole cluster (one range shuffle) and kept with each row's place; the rank is the place
+    within the sorted slice plus the rows of the same group in earlier slices. The table of those
+    offsets has one row per slice and group. NULL is a group like any other.
     """
     if table.rows <= window_rows:
         window = Window.partitionBy(*by).orderBy(*order)
@@ -154,10 +193,26 @@ def rank_rows(
     offsets = (
         placed.groupBy(*by, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-        .select(*by, "_slice", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+        .select(
+            *[F.col(c).alias(f"_by_{c}") for c in by],
+            F.col("_slice").alias("_part"),
+            "_first",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"),
+        )
     )
+    same = F.col("_slice") == F.col("_part")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
     return (
-        placed.join(F.broadcast(offsets), [*by, "_slice"])
+        placed.join(small(pin(offsets, "offsets")), same)
         .withColumn("rank", F.col("_place") - F.col("_first") + F.col("_skip") + 1)
-        .drop("_place", "_slice", "_first", "_skip")
+        .drop("_place", "_slice", "_part", "_first", "_skip", *[f"_by_{c}" for c in by])
     )
+
+
+def top_rows(table: Sized, order: Sequence[Column], n: int, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """The first ``n`` rows by ``order``, with their ``rank``.
+
+    No task gets ``n`` rows of every other task: a table beyond a window's size is sorted in slices.
+    """
+    return rank_rows(table, [], order, window_rows).where(F.col("rank") <= n)

@@ -11,7 +11,8 @@ from stakeline.functions.amounts import UNITS
 from stakeline.sources import tables as src
 
 CHAINS = ("Ethereum", "Base", "Optimism", "Arbitrum")
-TOKEN = "signup"
+# Address of the token under test: that of the events of type ``signup``.
+TOKEN = "0xb0ff000000000000000000000000000000007306"
 CONFIG = Config(
     as_of="2001-08-01 12:00:00", decimals=4, ks=(10, 100, 1000, 2000), top_n=50, quorum=100
 )
@@ -21,7 +22,7 @@ VOTES_CONFIG = Config(as_of="2024-01-31 00:00:00", decimals=4, top_n=50, quorum=
 SCHEMAS = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
-    " l_extendedprice double",
+    " l_extendedprice double, l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
     "supplier": "s_suppkey bigint, s_name string",
     "customer": "c_custkey bigint, c_name string, c_mktsegment string",
@@ -37,6 +38,12 @@ def chain_of(k: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in CHAINS]), (k % 4).cast("int"))
 
 
+def _token(kind: Column) -> Column:
+    """Address text, in capitals, of the token that events of a type concern."""
+    number = F.ascii(kind) * 256 + F.length(kind)
+    return F.concat(F.lit("0xB0FF"), F.lpad(F.hex(number.cast("long")), 36, "0"))
+
+
 def _whole(x: Column) -> Column:
     return F.floor(x + 0.5).cast(UNITS)
 
@@ -48,7 +55,7 @@ def _changes(read) -> DataFrame:
         addr(F.col("o_custkey") + 1).alias("delegator"),
         address(ZERO).alias("fromDelegate"),
         addr(F.floor(key / 4) % 131).alias("toDelegate"),
-        F.date_diff("o_orderdate", F.lit("1995-01-01")).cast("long").alias("evt_block_number"),
+        (F.date_diff("o_orderdate", F.lit("1995-01-01")) + 400 * (key % 3)).cast("long").alias("evt_block_number"),
         key.alias("evt_index"),
         F.col("o_orderdate").alias("evt_block_time"),
         addr(key).alias("evt_tx_hash"),
@@ -62,6 +69,7 @@ def _transfers(read) -> DataFrame:
         F.when(mint, address(ZERO)).otherwise(addr(F.col("l_suppkey") + 1)).alias("from"),
         addr(F.col("l_partkey") + 1).alias("to"),
         _whole(F.col("l_extendedprice") * 100).alias("value"),
+        F.col("l_shipdate").alias("evt_block_time"),
     )
 
 
@@ -84,7 +92,7 @@ def _balances(read) -> DataFrame:
     return read("events").select(
         F.lower(chain_of(F.col("event_id"))).alias("chain"),
         addr(F.col("user_id")).alias("address"),
-        F.col("event_type").alias("token_address"),
+        _token(F.col("event_type")).alias("token_address"),
         raw.alias("balance_raw"),
         (raw.cast("double") / F.lit(1e4)).alias("balance"),
         F.col("ts").alias("block_time"),

@@ -91,13 +91,14 @@ def delegate_changed(spark: SparkSession, source: Source, fmt: str = "parquet")
 
 
 def transfers(spark: SparkSession, source: Source, fmt: str = "parquet") -> DataFrame:
-    """Token transfers: chain, from, to, value."""
-    return _per_chain(
-        spark,
-        source,
-        lambda df: [_address(df, "from"), _address(df, "to"), _units(df, "value")],
-        fmt,
-    )
+    """Token transfers: chain, from, to, value, evt_block_time (NULL where the table has no such column)."""
+
+    def columns(df: DataFrame) -> list[Column]:
+        timed = _find(df, "evt_block_time") is not None
+        time = _time(df, "evt_block_time") if timed else F.lit(None).cast("timestamp_ntz").alias("evt_block_time")
+        return [_address(df, "from"), _address(df, "to"), _units(df, "value"), time]
+
+    return _per_chain(spark, source, columns, fmt)
 
 
 def votes_changed(spark: SparkSession, source: Source, fmt: str = "parquet") -> DataFrame:
@@ -134,10 +135,9 @@ def balances(
             raw = to_units(F.round(tokens * scale))
         if tokens is None:
             tokens = raw.cast("double") / scale
-        token, kind = _column(df, "token_address")
         return [
             _address(df, "address"),
-            token.alias("token_address"),
+            _address(df, "token_address"),
             tokens.alias("balance"),
             raw.alias("units"),
             _time(df, "block_time"),

@@ -8,6 +8,9 @@ from stakeline.sources import tables as src
 CFG = Config(as_of="2024-01-31 00:00:00", decimals=0, ks=(1, 2, 3), edges=(10, 100), last_edge_label=1000)
 
 
+TOKEN = "0xB0fF00000000000000000000000000000000aBcD"
+
+
 def addr(k: int) -> str:
     return f"0x{k:040x}"
 
@@ -29,12 +32,13 @@ def changes(spark, rows):
 
 
 def transfers(spark, rows):
-    """(chain, from, to, value)"""
+    """(chain, from, to, value) or the same and a time"""
+    early = "2000-01-01 00:00:00"
+    rows = [(c, addr(f), addr(t), str(v), datetime.fromisoformat((*at, early)[0])) for c, f, t, v, *at in rows]
     return src.transfers(
         spark,
         spark.createDataFrame(
-            [(c, addr(f), addr(t), str(v)) for c, f, t, v in rows],
-            "chain string, `from` string, `to` string, value string",
+            rows, "chain string, `from` string, `to` string, value string, evt_block_time timestamp_ntz"
         ),
     )
 
@@ -59,7 +63,7 @@ def balances(spark, rows):
     return src.balances(
         spark,
         spark.createDataFrame(
-            [(c, addr(a), "T", str(u), datetime.fromisoformat(ts)) for c, a, u, ts in rows],
+            [(c, addr(a), TOKEN, str(u), datetime.fromisoformat(ts)) for c, a, u, ts in rows],
             "chain string, address string, token_address string, balance_raw string,"
             " block_time timestamp_ntz",
         ),

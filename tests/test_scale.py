@@ -1,6 +1,7 @@
 """The unlimited form of each step gives what the quick form gives, also under skew."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,13 +20,16 @@ def collected(df):
 def test_distributed_rank_equals_window(spark, seed):
     """One group holds most rows, values tie."""
     rng = random.Random(seed)
-    data = [(rng.choice("aaaab"), rng.randrange(20), i) for i in range(500)]
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(20), i) for i in range(500)]
     df = spark.createDataFrame(data, "g string, v int, id int").repartition(7)
     order = [F.col("v").desc(), F.col("id")]
     for by in (["g"], []):
         quick = scale.rank_rows(scale.sized(df), by, order)
         wide = scale.rank_rows(scale.sized(df), by, order, window_rows=0)
         assert collected(quick) == collected(wide.select(quick.columns))
+        assert wide.count() == 500
+        top = scale.top_rows(scale.sized(df), order, 30, window_rows=0)
+        assert collected(top.select(quick.columns)) == collected(scale.top_rows(scale.sized(df), order, 30).select(quick.columns))
 
 
 def test_distributed_rank_uses_several_slices(spark):
@@ -134,3 +138,23 @@ def test_work_dir_is_the_configured_folder(spark):
     pinned = scale.pin(spark.range(5), "five")
     assert pinned.rows == 5
     assert all(path.startswith(f"file://{configured}/stakeline/{app}/five-") for path in pinned.df.inputFiles())
+
+
+def test_nothing_is_left_behind(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"), "stakeline", spark.sparkContext.applicationId)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with scale.scratch(spark):
+        t = f.delegating(spark, [("Ethereum", 1, 60, 3)])
+        assert reports.all_chain_delegators(t, f.CFG).count() == 1
+        assert set(folder.iterdir()) - before
+    assert set(folder.iterdir()) == before
+
+
+def test_without_a_shared_folder_tables_are_persisted(spark, monkeypatch):
+    monkeypatch.setattr(scale, "work_dir", lambda spark: None)
+    had = spark.sparkContext.getCheckpointDir()
+    with scale.scratch(spark):
+        kept = scale.pin(spark.range(7), "seven")
+        assert kept.rows == 7 and kept.df.storageLevel.useDisk
+    assert not kept.df.storageLevel.useDisk
+    assert spark.sparkContext.getCheckpointDir() == had

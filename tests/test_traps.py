@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import frames as f
+from stakeline.functions import times
 from stakeline.functions.times import elapsed_days
 from stakeline.operators import delegates, holders, labels, leaderboard, ledger, metrics, snapshots
 from stakeline.plans import reports
@@ -302,7 +303,7 @@ def test_emptied_wallet_keeps_its_last_balance(spark):
         + [("base", 2, 30, "2024-01-01 00:00:00"), ("base", 2, 20, "2024-01-03 00:00:00")]
         + [("ethereum", 1, 7, "2024-01-01 00:00:00")],
     )
-    out = reports.token_holders(src.Tables(balances=b), F.lit("T"), replace(f.CFG, ks=(2, 4)))
+    out = reports.token_holders(src.Tables(balances=b), f.TOKEN.lower(), replace(f.CFG, ks=(2, 4)))
     assert rows(out, "blockchain", "balance", "sep_balance") == [
         ("base", 50.0, 70.0),
         ("base", 20.0, 70.0),
@@ -316,8 +317,8 @@ def test_emptied_wallet_keeps_its_last_balance(spark):
 def test_balances_in_tokens_or_units(spark):
     """One chain gives base units, the other tokens."""
     when = "timestamp_ntz'2024-01-01 00:00:00' AS block_time"
-    units = spark.sql(f"SELECT '{f.addr(1)}' AS address, 'T' AS token_address, 25 AS balance_raw, {when}")
-    tokens = spark.sql(f"SELECT '{f.addr(2)}' AS address, 'T' AS token_address, 1.5D AS balance, {when}")
+    units = spark.sql(f"SELECT '{f.addr(1)}' AS address, '{f.TOKEN}' AS token_address, 25 AS balance_raw, {when}")
+    tokens = spark.sql(f"SELECT '{f.addr(2)}' AS address, '{f.TOKEN}' AS token_address, 1.5D AS balance, {when}")
     out = src.balances(spark, {"optimism": units, "base": tokens}, decimals=1)
     assert {(r.chain, r.balance, int(r.units)) for r in out.collect()} == {
         ("optimism", 2.5, 25),
@@ -335,4 +336,81 @@ def test_global_rank(spark):
 
 def test_latest_holdings_filters_token(spark):
     b = f.balances(spark, [("base", 1, 50, "2024-01-01 00:00:00")])
-    assert holders.latest_holdings(b, F.lit("U")).count() == 0
+    assert holders.latest_holdings(b, f.addr(3)).count() == 0
+    plain = bytes.fromhex(f.TOKEN[2:])
+    for token in (f.TOKEN, f.TOKEN.lower(), plain, F.lit(plain)):
+        assert holders.latest_holdings(b, token).count() == 1
+
+
+def test_holders_of_a_chain_without_a_name(spark):
+    """Every holder is a row, also where the chain is NULL."""
+    b = f.balances(spark, [(None, 1, 6, "2024-01-01 00:00:00"), ("base", 2, 4, "2024-01-01 00:00:00")])
+    out = reports.token_holders(src.Tables(balances=b), f.TOKEN, replace(f.CFG, ks=(1,)))
+    assert rows(out, "blockchain", "balance", "sep_balance", "total_balance", "num_of_stakers") == [
+        (None, 6.0, 6.0, 10.0, 2),
+        ("base", 4.0, 4.0, 10.0, 2),
+    ]
+
+
+def test_a_past_moment_sees_no_later_event(spark):
+    changes = f.changes(
+        spark, [(E, 1, 11, 1, 0, "2024-01-01 00:00:00"), (E, 1, 12, 9, 0, "2024-03-01 00:00:00")]
+    )
+    now = snapshots.current_delegations(changes, "2024-01-31").first()
+    assert (bytearray(now.to_delegate), now.days_delegated) == (f.raw(11), 30)
+    t = src.Tables(
+        delegate_changed=changes,
+        transfers=f.transfers(spark, [(E, 0, 1, 5, "2024-01-02 00:00:00"), (E, 0, 1, 7, "2024-02-02 00:00:00")]),
+        address_names=f.names(spark),
+    )
+    row = reports.all_chain_delegators(t, f.CFG).first()
+    assert (row.w_delegated, row.days_delegated) == (5.0, 30)
+    votes = f.votes(spark, [(1, 10, 1, 0, "2024-01-05 00:00:00"), (1, 99, 9, 0, "2024-02-05 00:00:00")])
+    power = snapshots.voting_power_change(votes, "2024-01-31", "1 day").first()
+    assert (int(power.units), int(power.prev_units)) == (10, 10)
+
+
+def test_a_past_moment_needs_the_times_of_transfers(spark):
+    timeless = f.transfers(spark, [(E, 0, 1, 5)]).withColumn("evt_block_time", F.lit(None).cast("timestamp_ntz"))
+    t = src.Tables(
+        delegate_changed=f.changes(spark, [(E, 1, 11, 1, 0, "2024-01-01 00:00:00")]),
+        transfers=timeless,
+        address_names=f.names(spark),
+    )
+    with pytest.raises(PySparkException, match="no evt_block_time"):
+        reports.all_chain_delegators(t, f.CFG).collect()
+    without_column = replace(t, transfers=timeless.drop("evt_block_time"))
+    with pytest.raises(PySparkException, match="no evt_block_time"):
+        reports.all_chain_delegators(without_column, f.CFG).collect()
+    assert reports.all_chain_delegators(t, replace(f.CFG, as_of=None)).first().w_delegated == 5.0
+
+
+def test_moments_with_a_zone(spark):
+    from datetime import datetime, timedelta, timezone
+
+    at = datetime(2024, 1, 31, tzinfo=timezone(timedelta(hours=-5)))
+    for moment_ in (at, at.isoformat(), "2024-01-31 05:00:00", datetime(2024, 1, 31, 5)):
+        assert str(spark.range(1).select(times.moment(moment_)).first()[0]) == "2024-01-31 05:00:00"
+
+
+def test_overflow_stops_only_who_asks(spark):
+    """An unwanted address may hold more than 38 digits; a wanted one may not."""
+    big = 9 * 10**37
+    moves = f.transfers(spark, [(E, 0, 1, big), (E, 0, 2, big), (E, 0, 3, 5)])
+    three = spark.createDataFrame([(E, f.raw(3))], "chain string, delegator binary")
+    zero = spark.createDataFrame([(E, f.raw(0))], "chain string, delegator binary")
+    for limit in (0, 100):
+        held = ledger.ledger_balances(moves, sized(three), 0, broadcast_rows=limit).collect()
+        assert [int(r.units) for r in held] == [5]
+        with pytest.raises(PySparkException, match="38 digits"):
+            ledger.ledger_balances(moves, sized(zero), 0, broadcast_rows=limit).collect()
+
+
+def test_any_chain_name(spark):
+    odd = ("Polygon zkEVM", "it's", 'say "hi"')
+    held = spark.createDataFrame([(c, 1, 2 + i) for i, c in enumerate(odd)], "chain string, rank long, units long")
+    totals = metrics.chain_totals(held, odd, 0).first()
+    assert [totals[f"total_w_delegated_{c.lower()}"] for c in odd] == [2.0, 3.0, 4.0]
+    board = held.withColumn("w_delegated", F.col("units").cast("double"))
+    wide = metrics.rank_thresholds_wide(board, (1,), {c: c for c in odd}).first()
+    assert [wide[f"{c}_top_1"] for c in odd] == [2.0, 3.0, 4.0]
