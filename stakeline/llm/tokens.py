@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 
-# Pieces remembered by a worker.
+# Pieces, and words, that a worker remembers at most (a text may add some).
 MEMORY = 500_000
 # Characters encoded at once.
 CHARS = 1 << 20
@@ -19,6 +20,23 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _spaced = re.compile(f"[{SPACE}] ")
 _piece = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
+# The words of the public tokenizers' patterns, for texts of plain Latin letters.
+_letter = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_latin = re.compile(f"[\\x00-\\x7f{_letter}]*")
+_blank = "\t-\r "
+_spaced_words = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_letter}]+| ?[0-9]+| ?[^{_blank}{_letter}0-9]+|[{_blank}]+(?![^{_blank}])|[{_blank}]+"
+)
+_stripped = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letter}]+|[0-9]|[^{_blank}{_letter}0-9]+")
+
+
+@cache
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it shows, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
 def public_tokenizer(name: str) -> str:
     """Where a public tokenizer file lies on this machine."""
@@ -32,7 +50,8 @@ class Encoder:
 
     Byte-pair tokenizers first cut a text into words, and no word reaches from a character into the
     white space after it. So a text is cut before each white space that follows another character,
-    unseen pieces are encoded by the library, and the ids of known ones are looked up. With
+    and the ids of pieces seen before are looked up. New pieces are cut into words as the library
+    cuts them, and the library's model merges the words not seen before. With
     ``strip`` the tokenizer drops white space, and pieces lose the spaces between them.
     """
 
@@ -43,8 +62,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.strip = strip
-        self.known: dict[str, list[int]] = {}
+        self.pieces_seen: dict[str, bytes] = {}
+        self.words_seen: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.strip:
@@ -55,24 +76,45 @@ class Encoder:
         found = [" " + x for x in rest]
         return [first, *found] if first else found
 
+    def _words(self, piece: str) -> list[str]:
+        """The words of a piece as the model takes them, by the library."""
+        normalizer = self.tokenizer.normalizer
+        text = normalizer.normalize_str(piece) if normalizer else piece
+        return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _ids(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids, as bytes, of new pieces.
+
+        Pieces of plain Latin letters, digits and ASCII marks are cut here as the library would.
+        """
+        if len(self.words_seen) > MEMORY:
+            self.words_seen.clear()
+        known, plain, cut = self.words_seen, _latin.fullmatch, (_stripped if self.strip else _spaced_words).findall
+        for piece in new:
+            if not plain(piece):
+                self.pieces_seen[piece] = b"".join(map(self._ids, self._words(piece)))
+                continue
+            parts = []
+            for word in cut(piece.lower() if self.strip else piece):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = self._ids(word.encode().decode("latin-1").translate(_byte_chars()))
+                parts.append(ids)
+            self.pieces_seen[piece] = b"".join(parts)
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for NULL or an empty text."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = found.ids
-        out = []
-        for pieces in cut:
-            ids: list[int] = []
-            for piece in pieces:
-                ids += known[piece]
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        new = set().union(*cut).difference(self.pieces_seen)
+        if len(self.pieces_seen) + len(new) > MEMORY:
+            self.pieces_seen.clear()
+            new = set().union(*cut)
+        self._learn(new)
+        known = self.pieces_seen.__getitem__
+        return [np.frombuffer(b"".join(map(known, pieces)), dtype="<u4") for pieces in cut]
 
     def batches(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """``encode`` for many texts, a bounded number of characters at a time."""
