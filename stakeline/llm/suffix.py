@@ -192,7 +192,7 @@ def _passages(length: int, shards: int, hot: dict[int, int]):
             held: dict[int, dict[bytes, list]] = {}
             for d in range(batch.num_rows):
                 text = texts[d].as_py()
-                runs = np.frombuffer(b"".join(blobs[d].as_py()), dtype=RUNS)
+                runs = np.unique(np.frombuffer(b"".join(blobs[d].as_py()), dtype=RUNS))  # repeated rows send them twice
                 member = (int(ids[d]), int(ths[d]))
                 for key, lo, n in zip(runs["key"].tolist(), runs["lo"].tolist(), runs["n"].tolist()):
                     pieces = hot.get(key, 0)
