@@ -294,8 +294,9 @@ def fit(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(known), docs[id_col] == F.col("_id"))
-    rows = store(rows.select(F.col(text_col).alias("text"), "label").where("text is not null"), "labelled")
+    rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(known), F.col("_own") == F.col("_id"))
+    rows = store(rows.select("text", "label"), "labelled")
     if rows.select("label").distinct().count() < 2:
         return Model()
     model = Model(lexicon(rows))

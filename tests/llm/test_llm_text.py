@@ -261,7 +261,7 @@ def test_toxicity(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     odd = spark.createDataFrame([(90_000, None), (90_001, ""), (None, "idiot"), (90_001, "")], "doc_id long, text string")
-    docs = docs.select("doc_id", "text").unionByName(odd).withColumnsRenamed({}).selectExpr("*", "'x' score", "1 hits")
+    docs = docs.select("doc_id", "text").unionByName(odd).selectExpr("*", "'x' score", "1 hits", "'l' label", "7 _id")
     labels = labels.unionByName(spark.createDataFrame([(90_000, 1, None), (None, 1, 1), (99_999, 1, 1)], labels.schema))
     found = toxicity.score(docs, labels).toPandas()
     assert len(found) == docs.count() and found["score"].between(0, 1).all()
