@@ -81,6 +81,7 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+        encode.forget()
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stakeline.llm.common import store
+from stakeline.llm.common import lowest_hashes, store
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 # Rows that the scorer is trained on, at most; slots that features are hashed to.
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     table = np.array([[int(v) for v in r["votes"]] for r in patterns])
     labels = weigh(table, np.array([r["count"] for r in patterns], dtype=float))
     posterior = dict(zip((r["votes"] for r in patterns), labels.posterior(table)))
-    picked = voted.orderBy("hash").limit(sample).select(F.col("hash").alias("_hash"), "votes").dropDuplicates(["_hash"])
+    picked = lowest_hashes(voted, sample, "hash").select(F.col("hash").alias("_hash"), "votes").dropDuplicates(["_hash"])
     hashed = rows.withColumn("_own", F.xxhash64("id", "text"))
     chosen = hashed.join(F.broadcast(picked), F.col("_own") == F.col("_hash")).dropDuplicates(["_hash"])
     found = chosen.select("_hash", "votes", _features_of(F.col("text")).alias("slots")).orderBy("_hash").collect()

@@ -42,6 +42,7 @@ def _write(folder: str, tokenizer: str, end: int):
             for doc, ids in zip(names, encode.batches(batch.column(1).to_pylist())):
                 writer.add(doc, np.append(ids, np.uint32(end)))
                 docs += 1
+        encode.forget()
         if writer is not None:
             total = writer.close()
             size = stream.tell()

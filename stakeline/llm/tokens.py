@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 
 # Pieces, and words, that a worker remembers at most (a text may add some).
-MEMORY = 500_000
+MEMORY = 300_000
 # Characters encoded at once.
 CHARS = 1 << 20
 # What regular expressions of the tokenizers library call white space.
@@ -128,6 +128,10 @@ class Encoder:
                 held, size = [], 0
         yield from self.encode(held)
 
+    def forget(self) -> None:
+        """Frees what was remembered: a worker may go on to other work."""
+        self.pieces_seen, self.words_seen = {}, {}
+
 
 @cache
 def encoder(path: str, strip: bool) -> Encoder:

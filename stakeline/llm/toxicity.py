@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stakeline.llm.common import store
+from stakeline.llm.common import lowest_hashes, store
 
 # Labelled rows that the lexicon and its weights are learned from, at most.
 SAMPLE = 20_000
@@ -293,7 +293,7 @@ def fit(
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    known = lowest_hashes(known, sample, "_id")
     rows = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(known), F.col("_own") == F.col("_id"))
     rows = store(rows.select("text", "label"), "labelled")
