@@ -27,6 +27,10 @@ BLOCK = 4096
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 60) - 1
+POWERS = np.array([1 << i for i in range(64)], dtype=np.uint64)
+# How a maximum over so many neighbours comes from two over fewer.
+SUMS = [(2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4), (10, 8, 2), (12, 8, 4), (15, 8, 7)]
+SUMS += [(20, 10, 10), (30, 15, 15), (60, 30, 30), (120, 60, 60), (240, 120, 120)]
 LOW60 = np.uint64(ESCAPE)
 
 
@@ -39,29 +43,15 @@ def pack(values: np.ndarray) -> np.ndarray:
         return _pack_with_escapes(values, big)
     if not n:
         return np.zeros(0, dtype="<u8")
-    # For each place the first selector whose count of values fits its width from there on.
-    choice = np.full(n, 15, dtype=np.int64)
-    bits = np.zeros(n, dtype=np.int64)
-    for width in WIDTHS[2:-1]:
-        bits[values >> np.uint64(width) != 0] = width + 1
-    bits[(bits == 0) & (values != 0)] = 1
-    top = int(bits.max())
+    # For each place the first selector whose count of values from there on fits its width.
+    widest = _widest(_bits(values))
+    choice = np.full(n, 15, dtype=np.uint8)
     open_ = np.ones(n, dtype=bool)
-    room = n - np.arange(n)
     for selector in range(15):
-        count, width = int(COUNTS[selector]), int(WIDTHS[selector])
-        if count > n:
-            continue
-        if width >= top:
-            fits = room >= count
-        else:
-            wide = np.concatenate([[0], np.cumsum(bits > width)])
-            fits = np.zeros(n, dtype=bool)
-            fits[: n - count + 1] = wide[count:] == wide[: n - count + 1]
-        choice[open_ & fits] = selector
-        open_ &= ~fits
-        if not open_.any():
-            break
+        if COUNTS[selector] <= n:
+            fits = widest[int(COUNTS[selector])][:n] <= WIDTHS[selector]
+            choice[open_ & fits] = selector
+            open_ &= ~fits
     # Follow the words from the first value on.
     jump, at, heads = COUNTS[choice].tolist(), 0, []
     while at < n:
@@ -74,11 +64,29 @@ def pack(values: np.ndarray) -> np.ndarray:
         count, width = int(COUNTS[kind]), np.uint64(WIDTHS[kind])
         mine = np.flatnonzero(selector == kind)
         if width:
-            for k in range(count):
-                words[mine] |= values[heads[mine] + k] << (width * np.uint64(k))
+            each = np.arange(count)
+            parts = values[heads[mine][:, None] + each] << (each.astype(np.uint64) * width)
+            words[mine] |= np.bitwise_or.reduce(parts, axis=1)
     return words.astype("<u8")
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits that each value takes; 0 for zero."""
+    if len(values) and values.max() >> np.uint64(53):
+        return np.searchsorted(POWERS, values, "right").astype(np.uint8)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
+def _widest(bits: np.ndarray) -> dict[int, np.ndarray]:
+    """For each count of a selector, the most bits among so many values from each place; 255 past the end."""
+    end = np.full(1 + COUNTS[0], 255, dtype=np.uint8)
+    found = {1: np.concatenate([bits, end])}
+    for size, left, right in SUMS:
+        one, two = found[left], found[right][left:]
+        found[size] = np.maximum(one[: len(two)], two[: len(one)])
+    return found
+
+
 def _pack_with_escapes(values: np.ndarray, big: np.ndarray) -> np.ndarray:
     parts, at = [], 0
     marker = np.array([(15 << 60) | ESCAPE], dtype=np.uint64)
@@ -108,9 +116,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
         width = int(WIDTHS[kind])
         mine = np.flatnonzero((selector == kind) & ~plain & ~marked)
         if width:
-            mask = np.uint64((1 << width) - 1)
-            for k in range(int(COUNTS[kind])):
-                out[start[mine] + k] = words[mine] >> np.uint64(width * k) & mask
+            each, mask = np.arange(int(COUNTS[kind])), np.uint64((1 << width) - 1)
+            out[start[mine][:, None] + each] = words[mine][:, None] >> (each * width).astype(np.uint64) & mask
     return out
 
 
