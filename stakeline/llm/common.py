@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator, Sequence
@@ -144,5 +145,14 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def trim() -> None:
+    """Gives memory that a task no longer uses back to the system; its worker may go on to other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def binary_column(values: Sequence[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from stakeline.llm.common import trim
+
 UNKNOWN = "und"
 PROFILE = 300
 PAD = 1
@@ -133,6 +135,7 @@ def predictor(model: Classifier) -> Callable[..., Column]:
     def language(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+        trim()
 
     return language
 

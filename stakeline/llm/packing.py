@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import store
+from stakeline.llm.common import store, trim
 from stakeline.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -82,6 +82,7 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
         encode.forget()
+        trim()
 
     return run
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import roots, store, without
+from stakeline.llm.common import roots, store, trim, without
 from stakeline.llm.components import components
 
 SEED = 42
@@ -55,6 +55,7 @@ def _fingerprints(shingle: int):
             prints = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             prints = pa.array(np.array(prints, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["id", "fp"])
+        trim()
 
     return run
 

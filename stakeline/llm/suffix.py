@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import fresh, store
+from stakeline.llm.common import fresh, store, trim
 
 LENGTH = 200
 SEED = 64
@@ -37,6 +37,9 @@ ARRAY = 2 << 20
 HOT = 8192
 SPLIT_KEYS = 100_000
 
+# Documents whose runs a task holds at once.
+ROWS = 2048
+
 RADIX = np.uint64(0x5851F42D4C957F2D)
 MASK = (1 << 64) - 1
 KEYED = np.dtype([("key", "<u8"), ("id", "<i8"), ("th", "<i4"), ("lo", "<u4"), ("n", "<u2"), ("seen", "u1")])
@@ -125,10 +128,10 @@ def _by(values: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _find_keys(length: int, seed: int, shards: int):
-    """Runs by key shard. A key found twice in a batch is settled there: it sends one row only."""
+    """Runs by key shard. A key found twice in some rows is settled there: it sends one row only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             data, offsets = _bytes_of(batch.column("text"))
             ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             parts = list(key_runs(data, offsets, length, seed))
@@ -154,6 +157,7 @@ def _find_keys(length: int, seed: int, shards: int):
             types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
             columns = [pa.array(x, type=t) for x, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "settled", "id", "th", "runs"])
+        trim()
 
     return run
 
@@ -217,6 +221,7 @@ def _passages(length: int, shards: int, hot: dict[int, int]):
                 names = ["shard", "n", "hot", "many", "members", "data"]
                 columns = [pa.array(x, type=pa.binary() if i else pa.int64()) for i, x in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        trim()
 
     return run
 

@@ -98,6 +98,16 @@ def test_suffix_order_and_prefixes(texts, length):
         assert shared[i] == next((k for k in range(length) if a[k] != b[k]), length)
 
 
+def test_bytes_of_a_slice():
+    import pyarrow as pa
+
+    column = pa.array(["ab", None, "", "cdé", "f"], type=pa.string()).cast(pa.binary())
+    for at in range(5):
+        data, offsets = suffix._bytes_of(column.slice(at, 3))
+        whole = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+        assert whole == [x or b"" for x in column.slice(at, 3).to_pylist()]
+
+
 # Decontamination
 
 
