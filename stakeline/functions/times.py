@@ -23,8 +23,8 @@ def moment(as_of: str | datetime) -> Column:
 
 
 def up_to(ts: Column | str, as_of: str | datetime) -> Column:
-    """Whether ``ts`` is not after ``as_of``."""
-    return (F.col(ts) if isinstance(ts, str) else ts) <= moment(as_of)
+    """Whether ``ts`` is not after ``as_of``; an event without a time isn't known to be."""
+    return F.coalesce((F.col(ts) if isinstance(ts, str) else ts) <= moment(as_of), F.lit(True))
 
 
 def before(as_of: str | datetime, lookback: str) -> Column:

@@ -40,7 +40,7 @@ def current_state(
     changes, transfers = tables.delegate_changed.where(wanted), tables.transfers.where(wanted)
     order = snapshots.EVENT_ORDER if chain is None else snapshots.LOG_ORDER
     transfers = _moved_by(transfers, cfg)
-    current = snapshots.current_delegations(changes, cfg.as_of, order, with_time)
+    current = snapshots.current_delegations(_dated(changes, cfg, "a delegation"), cfg.as_of, order, with_time)
     delegations = pin(current.drop("evt_block_time"), "delegations")
     holdings = ledger.ledger_balances(transfers, delegations, cfg.decimals).drop("w_delegated")
     return State(delegations, pin(holdings, "holdings"))
@@ -50,11 +50,17 @@ def _moved_by(transfers: DataFrame, cfg: Config) -> DataFrame:
     """Transfers up to ``as_of``. Without their times only the present can be described."""
     if not cfg.backdated:
         return transfers
-    timeless = F.col("evt_block_time").isNull()
     if "evt_block_time" not in transfers.columns:
-        timeless, transfers = F.lit(True), transfers.withColumn("evt_block_time", moment(cfg.as_of))
-    refused = F.raise_error(F.lit("as_of lies in the past, but a transfer has no evt_block_time")).cast("boolean")
-    return transfers.where(F.when(timeless, refused).otherwise(up_to("evt_block_time", cfg.as_of)))
+        transfers = transfers.withColumn("evt_block_time", F.lit(None).cast("timestamp_ntz"))
+    return _dated(transfers, cfg, "a transfer").where(up_to("evt_block_time", cfg.as_of))
+
+
+def _dated(events: DataFrame, cfg: Config, kind: str) -> DataFrame:
+    """The events; if ``as_of`` lies in the past, one without a time is refused: it may have come later."""
+    if not cfg.backdated:
+        return events
+    refused = F.raise_error(F.lit(f"as_of lies in the past, but {kind} has no evt_block_time")).cast("boolean")
+    return events.where(F.when(F.col("evt_block_time").isNull(), refused).otherwise(F.lit(True)))
 
 
 def _links(cfg: Config) -> dict[str, Column]:
@@ -240,6 +246,7 @@ def delegate_power(tables: Tables, cfg: Config) -> Sized:
     votes = tables.votes_changed.where(
         (F.col("chain") == cfg.votes_chain) & (F.col("delegate") != address(ZERO))
     )
+    votes = _dated(votes, cfg, "a vote")
     return pin(snapshots.voting_power_change(votes, cfg.as_of, cfg.lookback), "power")
 
 
@@ -253,7 +260,8 @@ def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
     )
     named = pin(named, "labels").df
     at_chain = F.col("chain") == cfg.votes_chain
-    changes = tables.delegate_changed.where(at_chain & up_to("evt_block_time", cfg.as_of))
+    changes = _dated(tables.delegate_changed.where(at_chain), cfg, "a delegation")
+    changes = changes.where(up_to("evt_block_time", cfg.as_of))
     counts = snapshots.delegators_per_delegate(changes)
     return delegates.top_n_with_other(power.df, top, counts, named, cfg.decimals)
 

@@ -414,3 +414,19 @@ def test_any_chain_name(spark):
     board = held.withColumn("w_delegated", F.col("units").cast("double"))
     wide = metrics.rank_thresholds_wide(board, (1,), {c: c for c in odd}).first()
     assert [wide[f"{c}_top_1"] for c in odd] == [2.0, 3.0, 4.0]
+
+
+def test_events_without_a_time_count_now_and_are_refused_for_a_past_moment(spark):
+    bare = F.lit(None).cast("timestamp_ntz")
+    t = voting(spark, [(1, 10, 1, 0, OLD), (1, 70, 2, 0, OLD), (2, 50, 1, 1, OLD)], [(E, 5, 1, 1, 0, OLD), (E, 5, 2, 2, 0, OLD)])
+    last = F.col("evt_block_number") == 2
+    when = F.when(last, bare).otherwise(F.col("evt_block_time"))
+    votes, changes = t.votes_changed.withColumn("evt_block_time", when), t.delegate_changed.withColumn("evt_block_time", when)
+    now = replace(VOTES_CFG, as_of=None)
+    out = {r.delegate: r for r in reports.top_delegates(replace(t, votes_changed=votes, delegate_changed=changes), now).collect()}
+    assert (out[f.addr(1)].total_voting_power, out[f.addr(1)].vp_change_30d) == (120.0, 60.0)
+    latest = snapshots.current_delegations(changes, f.CFG.as_of, snapshots.LOG_ORDER).first()
+    assert latest.to_delegate == f.raw(2) and latest.evt_block_time is None
+    for timeless in (replace(t, votes_changed=votes), replace(t, delegate_changed=changes)):
+        with pytest.raises(PySparkException, match="no evt_block_time"):
+            reports.top_delegates(timeless, VOTES_CFG).collect()
