@@ -63,7 +63,7 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
     return places, offsets
 
 
-def _cut(path: str, capacity: int, end: int, with_ids: bool):
+def _cut(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, strip=False)
         for batch in batches:
@@ -75,7 +75,7 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
                 while start < len(found):
                     data = found[start:stop].tobytes()
                     row = (doc, len(found[:stop]) // capacity - (len(found) % capacity == 0), start, stop - start)
-                    for column, value in zip(columns, (*row, zlib.crc32(data), data if with_ids else None)):
+                    for column, value in zip(columns, (*row, zlib.crc32(data), data)):
                         column.append(value)
                     start, stop = stop, stop + capacity
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -94,15 +94,14 @@ def pieces(
     text_col: str = "text",
     capacity: int = CAPACITY,
     end: int = END,
-    with_ids: bool = True,
 ) -> DataFrame:
     """Each document's ids and the id ``end``, in pieces of at most ``capacity``.
 
     Only a longer document is cut; its first piece holds what the others, all full, leave over.
-    ``ids`` are little-endian unsigned 32-bit numbers, NULL if not asked for.
+    ``ids`` are little-endian unsigned 32-bit numbers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, capacity, end, with_ids), PIECES)
+    return rows.mapInArrow(_cut(tokenizer, capacity, end), PIECES)
 
 
 def _pack(capacity: int, open_bins: int):
@@ -146,12 +145,11 @@ def pack_documents(
     capacity: int = CAPACITY,
     open_bins: int = OPEN,
     end: int = END,
-    with_ids: bool = True,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset`` per piece of a document.
 
     A NULL or empty text is the id ``end`` alone. Repeated rows and rows without an id are documents
     of their own. Other columns are ignored; no documents, no pieces.
     """
-    parts = store(pieces(docs, tokenizer, id_col, text_col, capacity, end, with_ids), "pieces")
+    parts = store(pieces(docs, tokenizer, id_col, text_col, capacity, end), "pieces", "zstd")
     return pack(parts, capacity, open_bins)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stakeline.llm import (
     decontaminate,
@@ -90,8 +91,8 @@ def op3_token_id_output(spark, sf_dir):
 @query
 def op7_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    packed = packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2, with_ids=False)
-    return packed.drop("ids")
+    packed = packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 @query

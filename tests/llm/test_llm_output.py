@@ -166,6 +166,15 @@ def test_packing(spark, stream, monkeypatch):
     assert packing.pack_documents(docs(spark, []), BYTES).count() == 0
 
 
+def test_packing_query_packs_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "pack", lambda parts, *a, _pack=packing.pack, **k: seen.append(parts) or _pack(parts, *a, **k))
+    found = {(r["doc_id"], r["start"]): r for r in QUERIES["op7_best_fit_packing"](spark, SF).collect()}
+    stored = seen[0].collect()
+    assert len(found) == len(stored) and all(len(r["ids"]) == 4 * r["length"] for r in stored)
+    assert all(zlib.crc32(r["ids"]) == found[r["doc_id"], r["start"]]["ids_crc32"] for r in stored)
+
+
 # Archives
 
 
