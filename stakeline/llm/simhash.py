@@ -220,14 +220,35 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, **options
+) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each near-duplicate group.
 
-    Rows without an id stay. Rows that share an id are one document and come back once.
+    Of rows without an id one of each fingerprint stays, the one whose text hashes lowest. Rows that
+    share an id are one document and come back once.
     """
-    found = store(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
+    found = store(near_duplicates(docs, id_col, text_col, shingle, **options), "near-duplicates")
     kept = without(docs, id_col, store(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies"))
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
+    alike = found.where("doc_id is null").groupBy("fingerprint").count().where("count > 1")
+    named, nameless = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
+    if not alike.isEmpty():
+        nameless = _one_per_fingerprint(nameless, text_col, shingle)
+    elif repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    if not repeated.isEmpty():
+        named = named.dropDuplicates([id_col])
+    return nameless.unionByName(named)
+
+
+def _one_per_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    text = F.col(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), prints(text).alias("fp"), F.xxhash64(text).alias("order"), text.alias("text"))
+    first = rows.groupBy("fp").agg(F.min_by("row", F.struct("order", "text")).alias("row"))
+    return first.select("row.*")

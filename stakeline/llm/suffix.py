@@ -431,7 +431,7 @@ def _cut(with_text: bool):
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
-    """A name for a document that repeated rows share: its id, and a hash of its text."""
+    """A name for a document that repeated rows share: its id, and a hash of its text. Without an id equal texts share it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [
         F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), text)).alias("id"),
@@ -451,10 +451,23 @@ def removals(
 ) -> DataFrame:
     """``id, th, n_removed, n_spans, kept_sha256, kept`` of the documents that lose bytes."""
     seed = max(length * 8 // 25, 1)
-    names = docs.select(*_identity(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    total = names.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(math.ceil(total / key_shard), 1)
+    names = docs.select(
+        *_identity(id_col, text_col),
+        F.col(text_col).cast("binary").alias("text"),
+        F.col(id_col).isNull().alias("no_id"),
+        F.lit(False).alias("whole"),
+    )
+    total, nameless = names.agg(F.sum(F.octet_length("text")), F.count_if("no_id")).first()
+    shards = max(math.ceil((total or 0) / key_shard), 1)
     long_enough = names.where(F.octet_length("text") >= length)
+    if nameless:
+        # Rows without an id are documents of their own: of those with equal texts one is searched, and they lose all bytes.
+        own = long_enough.where("no_id").groupBy("id", "th").agg(
+            F.first("text").alias("text"), F.lit(True).alias("no_id"), (F.count("*") > 1).alias("whole")
+        )
+        own = store(own, "without-id")
+        long_enough = long_enough.where(~F.col("no_id")).unionByName(own)
+    long_enough = long_enough.drop("no_id")
     routed = long_enough.mapInArrow(_find_keys(length, seed, shards), ROUTED)
     runs = routed.groupBy("shard").applyInPandas(_repeated_keys, "id bigint, th int, runs binary")
     runs = runs.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))
@@ -479,10 +492,21 @@ def removals(
         other = other.groupBy("slot").applyInPandas(_merge(length), "id bigint, th int, spans binary")
         spans = found.where("spans is not null").select("id", "th", "spans").unionByName(other)
     spans = spans.groupBy("id", "th").agg(F.collect_list("spans").alias("spans"))
-    cut = texts.select("id", "th", "text").join(spans, ["id", "th"])
-    return cut.mapInArrow(
+    cut = texts.where(~F.col("whole")).select("id", "th", "text").join(spans, ["id", "th"])
+    cut = cut.mapInArrow(
         _cut(with_text), "id bigint, th int, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
     )
+    if not nameless:
+        return cut
+    whole = own.where("whole").select(
+        "id",
+        "th",
+        F.octet_length("text").cast("long").alias("n_removed"),
+        F.lit(1).cast("long").alias("n_spans"),
+        F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"),
+        F.lit("" if with_text else None).cast("string").alias("kept"),
+    )
+    return cut.unionByName(whole)
 
 
 def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,8 +521,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each byte goes that a string of ``length`` bytes covers which also starts anywhere else, in the
     same document or another; strings are judged on the input. A NULL text is empty. Rows that
-    share id and text are one document and come back repeated, as do rows without an id and with
-    equal texts. Texts shorter than ``length`` lose nothing. Other columns are ignored.
+    share id and text are one document and come back repeated; each row without an id is a document
+    of its own. Texts shorter than ``length`` lose nothing. Other columns are ignored.
     """
     changed = removals(docs, id_col, text_col, length, with_text=False, **options)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

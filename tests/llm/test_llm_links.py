@@ -157,3 +157,13 @@ def test_simhash_empty_and_alike(spark):
     alike = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("the same text again").alias("text"))
     found = simhash.near_duplicates(alike, shard=2).select("component_id").distinct().collect()
     assert [r[0] for r in found] == [0]
+
+
+def test_simhash_rows_without_an_id(spark):
+    """Of copies without an id one stays, near rows with an id or not."""
+    rows = [(None, "one two three four")] * 5 + [(None, "another text"), (None, None), (None, ""), (7, "one two three four")]
+    frame = spark.createDataFrame([(*r, "x", 7, "y") for r in rows], DOCS)
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == frame.columns and kept.schema == frame.schema
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=repr)
+    assert got == sorted([(None, "one two three four"), (None, "another text"), (None, ""), (7, "one two three four")], key=repr)

@@ -78,6 +78,17 @@ def test_suffix_keeps_rows_and_columns(spark):
     assert {r["n_removed"] for r in suffix.repeated_bytes(twice, length=20).collect()} == {0}
 
 
+@pytest.mark.parametrize("hot", [8192, 3])
+def test_suffix_rows_without_an_id_are_documents(spark, hot):
+    texts = passages(50)
+    texts = [*texts[:8], *texts[:4], texts[0], "a" * 49, "a" * 49, None, None, *texts[30:34]]
+    ids = [None] * 20 + list(range(len(texts) - 20))
+    found = suffix.repeated_bytes(frame(spark, zip(ids, texts)), length=50, key_shard=2000, array=3000, hot=hot)
+    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted(slow_removals(texts, 50))
+    cut = suffix.drop_repeated(frame(spark, [(None, "x" * 60), (None, "x" * 60), (None, "short")]), length=50)
+    assert sorted(r["text"] for r in cut.collect()) == ["", "", "short"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=12, max_size=60), min_size=1, max_size=6), st.integers(8, 12))
 def test_suffix_order_and_prefixes(texts, length):
