@@ -5,7 +5,7 @@
    windows have equal keys, so only keys that occur twice anywhere can hold a repeated window.
 2. Runs of such keys go, with their bytes, to the shard of their key. A shard sorts its windows with
    a suffix array and finds equal neighbours by their common prefix.
-3. A key with too many runs for a shard is cut into pieces by document. Pieces exchange sorted
+3. A key with too many runs for a shard is cut into pieces by document and place. Pieces exchange sorted
    digests of their windows and find each other's by binary search.
 """
 
@@ -200,7 +200,8 @@ def _passages(length: int, shards: int, hot: dict[int, int]):
                 member = (int(ids[d]), int(ths[d]))
                 for key, lo, n in zip(runs["key"].tolist(), runs["lo"].tolist(), runs["n"].tolist()):
                     pieces = hot.get(key, 0)
-                    piece = xxhash.xxh64_intdigest(ids[d].tobytes(), key) % pieces if pieces else 0
+                    place = ids[d].tobytes() + lo.to_bytes(4, "little")
+                    piece = xxhash.xxh64_intdigest(place, key) % pieces if pieces else 0
                     shard = (key + piece * 0x9E3779B97F4A7C15 >> 7 & MASK) % shards
                     entry = held.setdefault(shard, {}).setdefault(text[lo : lo + n + length - 1], [pieces > 0])
                     entry.append((*member, lo))

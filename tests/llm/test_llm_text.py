@@ -89,6 +89,27 @@ def test_suffix_rows_without_an_id_are_documents(spark, hot):
     assert sorted(r["text"] for r in cut.collect()) == ["", "", "short"]
 
 
+def test_a_hot_key_of_one_document_is_dealt_to_pieces():
+    import pyarrow as pa
+
+    text = b"".join(b"%06d" % i + b"-" * 64 for i in range(800))
+    runs = np.array([(5, 70 * i, 3) for i in range(790)], dtype=suffix.RUNS)
+    columns = [pa.array([9]), pa.array([1], type=pa.int32()), pa.array([text]), pa.array([[runs.tobytes()]])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["id", "th", "text", "runs"])
+    (found,) = suffix._passages(20, 1 << 20, {5: 8})(iter([batch]))
+    members = [len(m) // suffix.MEMBER.itemsize for m in found.column("members").to_pylist()]
+    assert len(members) == 8 and sum(members) == 790 and max(members) < 200
+
+
+@pytest.mark.parametrize("hot", [8192, 3])
+def test_suffix_within_one_document(spark, hot):
+    rng = random.Random(6)
+    own = ["".join(rng.choice("abcdef") for _ in range(30)) for _ in range(60)]
+    text = "".join(x + "-" * 40 + own[i // 2] for i, x in enumerate(own))
+    found = suffix.repeated_bytes(frame(spark, [(1, text), (2, "alone " + own[3])]), length=50, array=3000, hot=hot)
+    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted(slow_removals([text, "alone " + own[3]], 50))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=12, max_size=60), min_size=1, max_size=6), st.integers(8, 12))
 def test_suffix_order_and_prefixes(texts, length):
