@@ -6,6 +6,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stakeline.llm.common import fresh
+from stakeline.llm.common import fresh, store, without
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -142,7 +143,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()]
 
 
-def match_columns(
+def _matches(
     docs: DataFrame,
     items: DataFrame,
     text_col: str = "text",
@@ -151,20 +152,23 @@ def match_columns(
     min_match: int = MIN_MATCH,
     coverage: float = COVERAGE,
     block_bytes: int = BLOCK_BYTES,
-) -> list[Column]:
+) -> Iterator[Column]:
     """Expressions over ``docs``, one per block of benchmark items, with the items each text leaks.
 
     Words are runs of word characters in lower case. An item leaks if tiles of at least
     ``min_match`` words cover ``coverage`` of its words, in whatever order they stand in the text.
-    Items travel to the tasks in blocks of about ``block_bytes`` of text, so nothing that is sent
-    grows with the benchmark; documents are not shuffled. Items without a word, a text or an id
-    match nothing, and an item of fewer than ``min_match`` words matches as a whole.
+    Items travel to the tasks in blocks of about ``block_bytes`` of text, one at a time: an
+    expression has to be evaluated and its result stored before the next one is taken. So what is
+    held at once doesn't grow with the benchmark; what is sent in all does. Items without a word, a
+    text or an id match nothing, and an item of fewer than ``min_match`` words matches as a whole.
     """
     context = docs.sparkSession.sparkContext
-    return [
-        _matcher(context.broadcast(Index(block, min_match, coverage)))(F.col(text_col))
-        for block in _blocks(items, item_id_col, item_text_col, block_bytes)
-    ]
+    for block in _blocks(items, item_id_col, item_text_col, block_bytes):
+        index = context.broadcast(Index(block, min_match, coverage))
+        try:
+            yield _matcher(index)(F.col(text_col))
+        finally:
+            index.destroy()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -174,8 +178,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     results, a row without an id gives a NULL id, a NULL or empty text gives none. Items that share
     an id are compared one by one.
     """
-    found = F.concat(*match_columns(docs, items, text_col, **options))
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("m")).select(
+    leaks = []
+    for found in _matches(docs, items, text_col, **options):
+        leaks.append(store(docs.select(F.col(id_col).alias("doc_id"), F.explode(found).alias("m")), "leaks"))
+    return reduce(DataFrame.unionAll, leaks).select(
         "doc_id",
         F.col("m.item").alias("item_id"),
         "m.coverage",
@@ -186,7 +192,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that leak a benchmark item; all columns as they are."""
-    name = fresh(docs, "_leaks")
-    found = F.concat(*match_columns(docs, items, text_col, **options))
-    return docs.withColumn(name, F.size(found)).where(F.col(name) == 0).drop(name)
+    """``docs`` without the rows that leak a benchmark item; all columns as they are.
+
+    What is stored of a leak is a digest of its text; rows with such a text go.
+    """
+    digest, name = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)), fresh(docs, "_digest")
+    leaks = []
+    for found in _matches(docs, items, text_col, **options):
+        leaks.append(store(docs.where(F.size(found) > 0).select(digest.alias("digest")).distinct(), "leaks"))
+    gone = reduce(DataFrame.unionAll, leaks).distinct()
+    return without(docs.withColumn(name, digest), name, gone).drop(name)

@@ -203,6 +203,30 @@ def test_leaks(spark, block_bytes):
     assert decontaminate.contaminated(frame(spark, []), items).count() == 0
 
 
+def test_one_block_of_items_is_held_at_a_time(spark, monkeypatch):
+    live, most, real = [], [], type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        index = real(context, value)
+        destroy = index.destroy
+        index.destroy = lambda *a, **k: (live.remove(index), destroy(*a, **k))
+        live.append(index)
+        most.append(len(live))
+        return index
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    texts = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = frame(spark, [(i, f"{t} and {texts[i - 1]}") for i, t in enumerate(texts[:6])] + [(90, "none"), (91, None)])
+    found = decontaminate.contaminated(docs, items, block_bytes=100)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == sorted(
+        (i, j % 12) for i in range(6) for j in (i, i - 1)
+    )
+    clean = decontaminate.drop_contaminated(docs, items, block_bytes=100)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [90, 91]
+    assert len(most) > 4 and max(most) == 1 and not live
+
+
 def test_leaks_in_the_test_tables(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
