@@ -11,6 +11,7 @@ from stakeline.llm import (
     decontaminate,
     embeddings,
     langid,
+    licenses,
     packing,
     quality,
     simhash,
@@ -119,3 +120,77 @@ def op4_toxicity(spark, sf_dir):
 @query
 def op5_quality_classifier(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_license_scan(spark, sf_dir):
+    return licenses.label_documents(table(spark, sf_dir, "documents"))
+
+
+_QUOTED = ", ".join(
+    "({}, '{}', {}, '{}')".format(i, t.label, 1 if t.phrase else 2, t.text.replace("'", "''"))
+    for i, t in enumerate(licenses.TEMPLATES)
+)
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op12_license_scan"] = f"""
+WITH t AS (
+  SELECT template, label, kind, {_WORDS.format("text")} AS w FROM (VALUES {_QUOTED}) AS v(template, label, kind, text)
+), tg AS (
+  SELECT template, label, kind, len(w) AS length, least(len(w), 3) AS size, w,
+    unnest(range(0, len(w) - least(len(w), 3) + 1)) AS o FROM t
+), known AS (
+  SELECT template, label, kind, length, size, o, array_to_string(w[o + 1 : o + size], ' ') AS gram FROM tg
+), d AS (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) - 1 AS pos FROM d
+), g AS (
+  SELECT *, w0 || ' ' || lead(w0) OVER x AS w01, w0 || ' ' || lead(w0) OVER x || ' ' || lead(w0, 2) OVER x AS w012
+  FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY pos)
+), hits AS (
+  SELECT doc_id, template, label, kind, length, size, o, pos - o AS diagonal
+  FROM g JOIN known k ON k.size = 2 AND k.gram = g.w01
+  UNION ALL
+  SELECT doc_id, template, label, kind, length, size, o, pos - o FROM g JOIN known k ON k.size = 3 AND k.gram = g.w012
+), places AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS place FROM (
+    SELECT doc_id, template, diagonal,
+      CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= 3
+        THEN 0 ELSE 1 END AS apart
+    FROM (SELECT DISTINCT doc_id, template, diagonal FROM hits))
+), both_of AS (
+  SELECT h.*, 'diagonal' AS kind_of, h.diagonal AS spot FROM hits h
+  UNION ALL
+  SELECT h.*, 'place', p.place FROM hits h JOIN places p
+    ON h.doc_id = p.doc_id AND h.template = p.template AND h.diagonal = p.diagonal WHERE h.kind = 2
+), covering AS (
+  SELECT *, unnest(range(o, o + size)) AS word FROM both_of
+), spans AS (
+  SELECT doc_id, template, kind_of, spot, any_value(label) AS label, any_value(kind) AS kind, any_value(length) AS length,
+    min(diagonal + o) AS first, max(diagonal + o + size - 1) AS last, count(DISTINCT word) AS covered
+  FROM covering GROUP BY ALL
+), scored AS (
+  SELECT *, 2 * least(covered, last - first + 1) / (length + last - first + 1)::DOUBLE AS score FROM spans
+), good AS (
+  SELECT * FROM scored WHERE score >= CASE WHEN kind = 1 THEN 1 ELSE 0.8 END
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, kind ORDER BY first, last, template, kind_of, spot
+    ROWS UNBOUNDED PRECEDING) AS island
+  FROM (
+    SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY doc_id, kind ORDER BY first, last, template, kind_of, spot
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM good)
+), best AS (
+  SELECT DISTINCT doc_id, kind, label, first, last, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, kind, island ORDER BY score DESC, length DESC, label, first) AS r
+    FROM islands)
+  WHERE kind = 1 OR r = 1
+)
+SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words,
+  count(b.doc_id) FILTER (b.kind = 1) AS n_base,
+  min(b.first) FILTER (b.kind = 1) AS first_word, max(b.first) FILTER (b.kind = 1) AS last_word,
+  coalesce(string_agg(DISTINCT b.label, ',' ORDER BY b.label) FILTER (b.kind = 1), '') AS base_labels,
+  coalesce(string_agg(DISTINCT b.label, ',' ORDER BY b.label), '') AS labels,
+  coalesce(max(b.score), 0) AS score
+FROM d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id
+"""
