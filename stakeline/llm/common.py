@@ -11,6 +11,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +131,16 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[t
         yield whole, np.array([0, whole.num_rows])
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``most`` bytes of ``column``, of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start, done = stop, int(ends[stop - 1])
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable position of each of ``n`` nodes over the links ``a[i] - b[i]``."""
     root = np.arange(n)

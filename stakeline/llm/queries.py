@@ -14,6 +14,7 @@ from stakeline.llm import (
     licenses,
     packing,
     quality,
+    search,
     simhash,
     suffix,
     token_files,
@@ -194,3 +195,34 @@ SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words,
   coalesce(max(b.score), 0) AS score
 FROM d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE["op13_ranked_search"] = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), size AS (
+  SELECT count(*) AS n, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(size.n) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, size GROUP BY term
+), items AS (
+  SELECT DISTINCT item_id, unnest({_WORDS.format("coalesce(text, '')")}) AS term FROM benchmark
+), scores AS (
+  SELECT i.item_id, f.doc_id,
+    sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * f.n * size.n) // size.total))))::BIGINT AS score
+  FROM items i JOIN tf f ON i.term = f.term JOIN weights w ON i.term = w.term, size
+  GROUP BY i.item_id, f.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
