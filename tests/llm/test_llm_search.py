@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stakeline.llm import search
+from stakeline.llm import negatives, search
 
 DOCS = "doc_id long, text string, item_id string, rank int, score string"
 ITEMS = "item_id long, text string, doc_id long, term string"
@@ -96,3 +96,71 @@ def test_plan_sums_shared_sets_once():
 def test_plan_of_one_item():
     plan = search.make_plan(np.zeros(3, dtype=int), np.array([2, 0, 1]), 4)
     assert plan.size == 1 and plan.leaf.tolist() == [0, 0, 0, -1]
+
+
+VECTORS = "vec_id long, embedding array<float>, label string, v int, anchor string"
+
+
+def vectors():
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((5, 8))
+    rows = []
+    for i in range(240):
+        x = centres[i % 5] * rng.choice([0.3, 1.0]) + rng.standard_normal(8) * 0.4
+        rows.append((i, x.astype(np.float32).tolist(), "abc"[i % 3 if i % 4 else 0]))
+    hot = rows[0][1]
+    rows += [(300 + i, hot, "abc"[i % 2]) for i in range(12)]  # ties
+    rows += [(400 + i, (-np.array(hot)).tolist(), "d") for i in range(4)]  # all scores of a pair below 0
+    rows += [(500, [0.0] * 8, "a"), (510, [0.0] * 8, "b"), (520, [0.5, 0.25], "a"), (521, [0.5, 0.5], "a"), (522, [0.5, 0.125], "b")]
+    rows += [(530, hot, None), (540, None, "a"), (550, [], "a"), (560, [*hot[:7], None], "a"), (570, [*hot[:7], float("nan")], "a")]
+    rows += [(580, [*hot[:7], float("inf")], "a"), (None, hot, "a"), (590, hot, "alone"), rows[0], rows[0], (20, hot, "z")]
+    return rows
+
+
+def hard_negatives(rows, every, k, n, floor):
+    known = {}
+    for i, x, label in rows:
+        if i is None or label is None or not x or None in x or not np.isfinite(x).all():
+            continue
+        row = (label, np.floor(256 * np.array(x, dtype=np.float64)).astype(int).tolist())
+        known[i] = min(known.get(i, row), row)
+    found = set()
+    for a, (label, x) in known.items():
+        if a % every:
+            continue
+        scores = {b: sum(p * q for p, q in zip(x, y)) for b, (_, y) in known.items() if b != a and len(y) == len(x)}
+        best = sorted(scores, key=lambda b: (-scores[b], b))
+        for p in [b for b in best if known[b][0] == label][:k]:
+            s = scores[p]
+            fit = [b for b in best if known[b][0] != label and floor * s <= 100 * scores[b] <= 100 * s][:n]
+            found |= {(a, p, r, b, s, scores[b]) for r, b in enumerate(fit, 1)}
+    return found
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_cells": 100, "block_cells": 60}, {"shard_cells": 300, "ahead": 2}])
+def test_hard_negatives_equal_brute_force(spark, sizes):
+    frame = spark.createDataFrame([(*r, 1, "x") for r in vectors()], VECTORS).repartition(4)
+    rows = [tuple(r) for r in negatives.mine(frame, every=10, positives=3, negatives=4, floor=50, **sizes).collect()]
+    want = hard_negatives(vectors(), 10, 3, 4, 50)
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 50
+
+
+def test_hard_negatives_of_nothing(spark):
+    frame = spark.createDataFrame([(*r, 1, "x") for r in vectors()], VECTORS)
+    assert negatives.mine(frame.limit(0)).count() == 0
+    assert negatives.mine(frame.where("vec_id % 100 <> 0")).count() == 0
+    with pytest.raises(Exception, match="too long"):
+        negatives.mine(spark.createDataFrame([(0, [1e8], "a", 1, "x"), (1, [1e8], "a", 1, "x")], VECTORS)).count()
+
+
+def test_index_omits_what_the_threshold_covers():
+    rng = np.random.default_rng(1)
+    rows, x = rng.integers(-200, 200, (500, 16)), rng.integers(-200, 200, 16)
+    exact = rows @ x
+    index = negatives.Index(rows)
+    search = negatives.Search(index, x)
+    for threshold in np.sort(exact)[[-2, -20, -100]].tolist():
+        known = search.lower(threshold)
+        assert set(np.flatnonzero(exact >= threshold)) <= set(known)
+        assert (search.score[known] == exact[known]).all()
+        assert search.used.sum() < rows.size and len(known) < len(rows)
