@@ -14,6 +14,7 @@ from stakeline.functions.links import delegate_anchor, explorer_url, html_link
 from stakeline.functions.times import up_to
 from stakeline.operators import (
     delegates,
+    history,
     holders,
     labels,
     leaderboard,
@@ -196,6 +197,32 @@ def current_delegations_single(spark, sf_dir):
     )
 
 
+# Moments ahead of most events, amid them, and after the last one.
+MOMENTS = {"early": "1992-03-01 00:00:00", "amid": "1998-06-15 00:00:00", "late": CONFIG.as_of}
+
+
+def _delegations_at(as_of: str) -> Query:
+    """From kept intervals: a filtered scan."""
+
+    def run(spark, sf_dir):
+        t = benchmark_tables(spark, sf_dir, "delegate_changed")
+        kept = pin(history.delegation_intervals(t.delegate_changed), "intervals")
+        return _plain(history.delegations_at(kept.df, as_of))
+
+    return run
+
+
+for _name, _as_of in MOMENTS.items():
+    QUERIES[f"delegations_at_{_name}"] = _delegations_at(_as_of)
+
+
+@query
+def delegation_intervals(spark, sf_dir):
+    """In log order, where a later block may have an earlier time."""
+    t = benchmark_tables(spark, sf_dir, "delegate_changed")
+    return _plain(history.delegation_intervals(t.delegate_changed, snapshots.LOG_ORDER, span=100))
+
+
 @query
 def delegators_per_delegate(spark, sf_dir):
     t = benchmark_tables(spark, sf_dir, "delegate_changed")
@@ -234,6 +261,30 @@ def ledger_credits(spark, sf_dir):
     return _ledger(spark, sf_dir, legs=ledger.credits)
 
 
+def _ledger_at(as_of: str) -> Query:
+    """From kept balances at the ends of months, and the transfers of one month."""
+
+    def run(spark, sf_dir):
+        t = benchmark_tables(spark, sf_dir, *LEDGER)
+        current = snapshots.current_delegations(t.delegate_changed, CONFIG.as_of)
+        holders_now = pin(current.select("chain", "delegator"), "delegations")
+        kept = pin(history.balance_history(t.transfers), "balance-history")
+        return _plain(history.ledger_at(kept.df, t.transfers, holders_now, as_of, CONFIG.decimals))
+
+    return run
+
+
+for _name, _as_of in MOMENTS.items():
+    QUERIES[f"ledger_at_{_name}"] = _ledger_at(_as_of)
+
+
+@query
+def balance_history(spark, sf_dir):
+    """Balances of all addresses at the ends of quarters."""
+    t = benchmark_tables(spark, sf_dir, "transfers")
+    return _plain(history.balance_history(t.transfers, "QUARTER"))
+
+
 # Leaderboards and figures
 
 
@@ -287,6 +338,13 @@ def rank_thresholds(spark, sf_dir):
     return metrics.rank_thresholds(_multi(spark, sf_dir), CONFIG.ks)
 
 
+@query
+def rank_thresholds_selected(spark, sf_dir):
+    """Without ranks: amounts at rank k found by counting."""
+    t, state = _state(spark, sf_dir)
+    return leaderboard.thresholds(state.holdings, t.address_names, CONFIG.ks, CONFIG.decimals, CONFIG.dust)
+
+
 @query
 def rank_thresholds_by_chain(spark, sf_dir):
     return metrics.rank_thresholds_wide(_multi(spark, sf_dir), CONFIG.ks, CHAIN_PREFIX)
@@ -352,6 +410,22 @@ def voting_power_asof(spark, sf_dir):
     )
 
 
+def _voting_power_at(as_of: str | None) -> Query:
+    """From kept intervals."""
+
+    def run(spark, sf_dir):
+        t = benchmark_tables(spark, sf_dir, "votes_changed")
+        kept = pin(history.vote_intervals(t.votes_changed, span=500), "vote-intervals")
+        return _plain(history.voting_power_at(kept.df, VOTES_CONFIG.decimals, as_of, VOTES_CONFIG.lookback))
+
+    return run
+
+
+VOTE_MOMENTS = {"early": "2024-01-03 00:00:00", "amid": "2024-01-16 00:00:00", "before": VOTES_CONFIG.as_of, "now": None}
+for _name, _as_of in VOTE_MOMENTS.items():
+    QUERIES[f"voting_power_at_{_name}"] = _voting_power_at(_as_of)
+
+
 @query
 def voting_power_change(spark, sf_dir):
     t = benchmark_tables(spark, sf_dir, "votes_changed")

@@ -29,7 +29,8 @@ class Config:
     """Report parameters.
 
     ``as_of`` is the moment a report describes, in UTC unless it says otherwise; ``None`` means now. The link prefixes are the
-    pages the HTML columns point to and belong to whoever publishes the report.
+    pages the HTML columns point to and belong to whoever publishes the report. ``history_period`` is
+    that of ``Tables.balance_history``.
     """
 
     as_of: str | datetime | None = None
@@ -44,6 +45,7 @@ class Config:
     majority: float = 0.5
     quorum: float = 21_000_000
     lookback: str = "1 day"
+    history_period: str = "MONTH"
     votes_chain: str = "Ethereum"
     label_category: str = "institution"
     explorers: dict[str, str] = field(default_factory=lambda: dict(EXPLORERS))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = "yyyy-MM-dd"
@@ -23,8 +23,18 @@ def moment(as_of: str | datetime) -> Column:
 
 
 def up_to(ts: Column | str, as_of: str | datetime) -> Column:
-    """Whether ``ts`` is not after ``as_of``; an event without a time isn't known to be."""
-    return F.coalesce((F.col(ts) if isinstance(ts, str) else ts) <= moment(as_of), F.lit(True))
+    """Whether ``ts`` is not after ``as_of``; an event without a time isn't known to be.
+
+    Written as a disjunction, which file formats can check against the bounds of their row groups.
+    """
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return ts.isNull() | (ts <= moment(as_of))
+
+
+def dated(events: DataFrame, kind: str) -> DataFrame:
+    """``events``, one without a time refused: it isn't known whether it came before a past moment."""
+    refused = F.raise_error(F.lit(f"as_of lies in the past, but {kind} has no evt_block_time")).cast("boolean")
+    return events.where(F.when(F.col("evt_block_time").isNull(), refused).otherwise(F.lit(True)))
 
 
 def before(as_of: str | datetime, lookback: str) -> Column:

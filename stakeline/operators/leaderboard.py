@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakeline.config import k_label
 from stakeline.functions.addresses import to_text
 from stakeline.functions.amounts import UNITS, share, to_tokens
+from stakeline.operators import selection
 from stakeline.scale import (
     BROADCAST_ROWS,
     WINDOW_ROWS,
     Sized,
+    keep,
     left_lookup,
     pin,
     rank_rows,
@@ -109,7 +114,7 @@ def ranked_delegators(
 ) -> DataFrame:
     """Delegators of all chains with the names of their delegates, ranked within their chain; kept."""
     listed = left_lookup(holdings, _book(names), "to_delegate", broadcast_rows)
-    return pin(rank_rows(listed, ["chain"], _order(), window_rows), "ranked").df
+    return keep(rank_rows(listed, ["chain"], _order(), window_rows), "ranked")
 
 
 def listed_delegators(holdings: Sized, names: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -122,6 +127,33 @@ def chain_units(rows: DataFrame) -> DataFrame:
     return small(pin(rows.groupBy("chain").agg(F.sum("units").alias("chain_units")), "chain-units"))
 
 
+def thresholds(
+    holdings: Sized, names: DataFrame, ks: Sequence[int], decimals: int = 18, dust: float = 1e-12,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``metrics.rank_thresholds`` of ``delegator_leaderboard_multi`` without ranking anybody.
+
+    Amount and days of the row at rank k are found by counting (see ``selection``); rows that tie in
+    both have the same threshold.
+    """
+    listed = listed_delegators(holdings, names, broadcast_rows)
+    totals = keep(listed.groupBy("chain").agg(F.sum("units").alias("chain_units")), "chain-units")
+    at = selection.values_at_ranks(listed, ks, "chain", ["units", "days_delegated"])
+    at = at.join(totals.withColumnRenamed("chain", "_chain"), F.col("chain").eqNullSafe(F.col("_chain")), "left")
+    kept = _above_dust(
+        at.select(
+            "chain", "k", "days_delegated", to_tokens("units", decimals).alias("w_delegated"),
+            share("units", "chain_units").alias("pct_of_delegated"),
+        ),
+        dust,
+    )
+    marks = kept.groupBy(F.col("chain").alias("_chain")).agg(
+        *[F.max(F.when(F.col("k") == k, F.col("w_delegated"))).alias(f"tokens_for_top_{k_label(k)}") for k in ks]
+    )
+    chains = with_shares(listed, totals, decimals, dust).select("chain").distinct()
+    return chains.join(marks, F.col("chain").eqNullSafe(F.col("_chain")), "left").drop("_chain")
+
+
 def with_shares(rows: DataFrame, totals: DataFrame, decimals: int = 18, dust: float = 1e-12) -> DataFrame:
     """Amounts, shares and totals of listed or ranked delegators, those above the dust only."""
     totals = totals.withColumnRenamed("chain", "_chain")

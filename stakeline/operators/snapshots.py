@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeline.functions.amounts import to_tokens
-from stakeline.functions.times import DAY, SECOND, before, elapsed_days, up_to
+from stakeline.functions.times import DAY, SECOND, before, dated, elapsed_days, up_to
 
 # Log position of an event. Time alone ties within a block, so block and index follow it.
 EVENT_ORDER = ("evt_block_time", "evt_block_number", "evt_index")
@@ -34,9 +34,16 @@ def current_delegations(
     as_of: str | datetime,
     order: Sequence[str] = EVENT_ORDER,
     with_time: bool = True,
+    must_be_dated: bool = False,
 ) -> DataFrame:
-    """Who each (chain, delegator) delegates to at ``as_of``, and since when; later events don't count."""
-    latest = latest_per_key(changes.where(up_to("evt_block_time", as_of)), ["chain", "delegator"], order)
+    """Who each (chain, delegator) delegates to at ``as_of``, and since when; later events don't count.
+
+    An event without a time counts, or is refused if they ``must_be_dated``.
+    """
+    changes = changes.where(up_to("evt_block_time", as_of))
+    if must_be_dated:
+        changes = dated(changes, "a delegation")
+    latest = latest_per_key(changes, ["chain", "delegator"], order)
     return latest.select(
         "chain",
         "delegator",
@@ -77,14 +84,19 @@ def voting_power_snapshot(
     )
 
 
-def voting_power_change(votes: DataFrame, as_of: str | datetime, lookback: str) -> DataFrame:
+def voting_power_change(
+    votes: DataFrame, as_of: str | datetime, lookback: str, must_be_dated: bool = False
+) -> DataFrame:
     """Base units at ``as_of`` (``units``) and before the lookback (``prev_units``, 0 if none) per delegate.
 
-    Events after ``as_of`` don't count. One pass over the events: each delegate is first cut to its last event on either side of
+    Events after ``as_of`` don't count; those without a time do, or are refused if they
+    ``must_be_dated``. One pass over the events: each delegate is first cut to its last event on either side of
     ``as_of - lookback``, whatever the number of events, and those two rows then meet.
     """
     zero = F.lit(0).cast("decimal(38,0)")
     votes = votes.where(up_to("evt_block_time", as_of))
+    if must_be_dated:
+        votes = dated(votes, "a vote")
     earlier = F.coalesce(F.col("evt_block_time") < before(as_of, lookback), F.lit(False))
     sides = votes.select(
         "delegate", F.col("new_votes").alias("units"), *LOG_ORDER, earlier.alias("earlier")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from stakeline.config import CHAIN_PREFIX, Config, k_label
 from stakeline.functions.addresses import ZERO, address, to_text, with_text
 from stakeline.functions.amounts import share, to_tokens
 from stakeline.functions.links import explorer_url, html_link
-from stakeline.functions.times import moment, up_to
-from stakeline.operators import delegates, holders, labels, leaderboard, ledger, metrics, snapshots
-from stakeline.scale import Sized, pin, small, with_row
+from stakeline.functions.times import dated, moment, up_to
+from stakeline.operators import delegates, history, holders, labels, leaderboard, ledger, metrics, snapshots
+from stakeline.scale import Sized, keep, pin, with_row
 from stakeline.sources.tables import Tables
 
 
@@ -35,15 +36,25 @@ class State:
 def current_state(
     tables: Tables, cfg: Config, chain: str | None = None, with_time: bool = True
 ) -> State:
-    """Read the events once, keep one row per (chain, delegator), and net their transfers."""
+    """Read the events once, keep one row per (chain, delegator), and net their transfers.
+
+    Over all chains, kept intervals and balances stand in for the events where ``tables`` has them.
+    """
     wanted = F.col("chain").isin(*cfg.chains) if chain is None else F.col("chain") == chain
-    changes, transfers = tables.delegate_changed.where(wanted), tables.transfers.where(wanted)
-    order = snapshots.EVENT_ORDER if chain is None else snapshots.LOG_ORDER
-    transfers = _moved_by(transfers, cfg)
-    current = snapshots.current_delegations(_dated(changes, cfg, "a delegation"), cfg.as_of, order, with_time)
+    if chain is None and tables.delegation_intervals is not None:
+        current = history.delegations_at(tables.delegation_intervals.where(wanted), cfg.as_of, with_time)
+    else:
+        order = snapshots.EVENT_ORDER if chain is None else snapshots.LOG_ORDER
+        changes = tables.delegate_changed.where(wanted)
+        current = snapshots.current_delegations(changes, cfg.as_of, order, with_time, cfg.backdated)
     delegations = pin(current.drop("evt_block_time"), "delegations")
-    holdings = ledger.ledger_balances(transfers, delegations, cfg.decimals).drop("w_delegated")
-    return State(delegations, pin(holdings, "holdings"))
+    transfers = tables.transfers.where(wanted)
+    if tables.balance_history is not None:
+        balances = tables.balance_history.where(wanted)
+        holdings = history.ledger_at(balances, transfers, delegations, cfg.as_of, cfg.decimals, cfg.history_period)
+    else:
+        holdings = ledger.ledger_balances(_moved_by(transfers, cfg), delegations, cfg.decimals)
+    return State(delegations, pin(holdings.drop("w_delegated"), "holdings"))
 
 
 def _moved_by(transfers: DataFrame, cfg: Config) -> DataFrame:
@@ -52,15 +63,7 @@ def _moved_by(transfers: DataFrame, cfg: Config) -> DataFrame:
         return transfers
     if "evt_block_time" not in transfers.columns:
         transfers = transfers.withColumn("evt_block_time", F.lit(None).cast("timestamp_ntz"))
-    return _dated(transfers, cfg, "a transfer").where(up_to("evt_block_time", cfg.as_of))
-
-
-def _dated(events: DataFrame, cfg: Config, kind: str) -> DataFrame:
-    """The events; if ``as_of`` lies in the past, one without a time is refused: it may have come later."""
-    if not cfg.backdated:
-        return events
-    refused = F.raise_error(F.lit(f"as_of lies in the past, but {kind} has no evt_block_time")).cast("boolean")
-    return events.where(F.when(F.col("evt_block_time").isNull(), refused).otherwise(F.lit(True)))
+    return dated(transfers.where(up_to("evt_block_time", cfg.as_of)), "a transfer")
 
 
 def _links(cfg: Config) -> dict[str, Column]:
@@ -151,35 +154,42 @@ class Board:
 
 
 def _multi_board(tables: Tables, cfg: Config, state: State, base: str, strict: bool = False) -> Board:
-    """Ranks are kept; one pass over them gives each chain's total and the rows at the wanted ranks.
+    """Ranks are kept, and beside them one table of figures with a row per chain.
 
     ``per_chain`` has the thresholds and unique delegators of a chain, ``totals`` the totals of the
-    chains as one row. ``base`` says which rows of the state count as delegators.
+    chains as one row; both are read off the figures. ``base`` says which rows of the state count as
+    delegators.
     """
     ranked = leaderboard.ranked_delegators(state.holdings, tables.address_names)
     at = [F.col("rank") == k for k in cfg.ks]
     fields = F.struct("units", "days_delegated")
-    figures = pin(
-        ranked.groupBy("chain").agg(
-            F.sum("units").alias("chain_units"), *[F.max(F.when(hit, fields)).alias(f"_at_{k}") for hit, k in zip(at, cfg.ks)]
-        ),
-        "figures",
+    listed = ranked.groupBy("chain").agg(
+        F.sum("units").alias("chain_units"), *[F.max(F.when(hit, fields)).alias(f"_at_{k}") for hit, k in zip(at, cfg.ks)]
+    )
+    held = state.holdings.df.groupBy("chain").agg(
+        F.sum("units").alias("held_units"), F.count("delegator").alias("unique_delegators")
     )
-    units = small(Sized(figures.df.select("chain", "chain_units"), figures.rows))
-    rows = leaderboard.with_shares(ranked, units, cfg.decimals, cfg.dust)
+    parts = [listed, held]
+    if base == "delegations":
+        parts = [listed, held.drop("unique_delegators"), metrics.unique_delegators(state.delegations.df)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    named = [c for c in rows.columns if c != "chain"]
+    rows = rows.groupBy("chain").agg(*[F.first(c, ignorenulls=True).alias(c) for c in named])
+    # A row per chain.
+    figures = F.broadcast(keep(rows, "figures"))
+    units = figures.where("chain_units IS NOT NULL").select("chain", "chain_units")
 
     def mark(k: int) -> Column:
-        held = F.col(f"_at_{k}")
-        tokens = to_tokens(held["units"], cfg.decimals)
-        kept = (tokens > cfg.dust) & (share(held["units"], "chain_units") > cfg.dust) & (held["days_delegated"] > 0)
-        return F.when(kept, tokens).alias(f"tokens_for_top_{k_label(k)}")
+        reached = F.col(f"_at_{k}")
+        tokens = to_tokens(reached["units"], cfg.decimals)
+        above = (tokens > cfg.dust) & (share(reached["units"], "chain_units") > cfg.dust) & (reached["days_delegated"] > 0)
+        return F.when(above, tokens).alias(f"tokens_for_top_{k_label(k)}")
 
-    delegators = (state.delegations if base == "delegations" else state.holdings).df
-    unique = metrics.unique_delegators(delegators).withColumnRenamed("chain", "_chain")
-    marks = figures.df.select("chain", *[mark(k) for k in cfg.ks])
-    per_chain = pin(marks.join(unique, F.col("chain").eqNullSafe(F.col("_chain")), "left").drop("_chain"), "per-chain")
-    totals = pin(metrics.chain_totals(state.holdings.df, cfg.chains, cfg.decimals, strict), "totals")
-    return Board(rows, small(per_chain), totals.df, metrics.distinct_stakers(rows))
+    shown = leaderboard.with_shares(ranked, units, cfg.decimals, cfg.dust)
+    per_chain = figures.select("chain", *[mark(k) for k in cfg.ks], "unique_delegators")
+    by_chain = figures.select("chain", F.col("held_units").alias("units"))
+    totals = metrics.chain_totals(by_chain, cfg.chains, cfg.decimals, strict)
+    return Board(shown, per_chain, totals, metrics.distinct_stakers(shown))
 
 
 def all_chain_delegators(tables: Tables, cfg: Config = Config()) -> DataFrame:
@@ -246,8 +256,7 @@ def delegate_power(tables: Tables, cfg: Config) -> Sized:
     votes = tables.votes_changed.where(
         (F.col("chain") == cfg.votes_chain) & (F.col("delegate") != address(ZERO))
     )
-    votes = _dated(votes, cfg, "a vote")
-    return pin(snapshots.voting_power_change(votes, cfg.as_of, cfg.lookback), "power")
+    return pin(snapshots.voting_power_change(votes, cfg.as_of, cfg.lookback, cfg.backdated), "power")
 
 
 def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
@@ -258,10 +267,10 @@ def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
     named = labels.resolve_labels(
         Sized(powered, 2 * cfg.top_n), tables.address_names, tables.ens, tables.labels, cfg.label_category
     )
-    named = pin(named, "labels").df
-    at_chain = F.col("chain") == cfg.votes_chain
-    changes = _dated(tables.delegate_changed.where(at_chain), cfg, "a delegation")
+    changes = tables.delegate_changed.where(F.col("chain") == cfg.votes_chain)
     changes = changes.where(up_to("evt_block_time", cfg.as_of))
+    if cfg.backdated:
+        changes = dated(changes, "a delegation")
     counts = snapshots.delegators_per_delegate(changes)
     return delegates.top_n_with_other(power.df, top, counts, named, cfg.decimals)
 

@@ -52,7 +52,7 @@ def work_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def pin(df: DataFrame, name: str) -> Sized:
+def keep(df: DataFrame, name: str) -> DataFrame:
     """Keep ``df`` so that its consumers don't recompute it.
 
     Stored tables of one application share a folder, ``<work_dir>/stakeline/<application id>``.
@@ -62,11 +62,16 @@ def pin(df: DataFrame, name: str) -> Sized:
     if folder is None:
         kept = df.persist(StorageLevel.MEMORY_AND_DISK)
         _kept.append(kept)
-        return sized(kept)
+        return kept
     path = f"{folder.rstrip('/')}/stakeline/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
     _kept.append(path)
     df.write.parquet(path)
-    return sized(spark.read.schema(df.schema).parquet(path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame, name: str) -> Sized:
+    """``keep`` and count, for consumers that choose their form by size."""
+    return sized(keep(df, name))
 
 
 def release(spark: SparkSession, since: int = 0) -> int:

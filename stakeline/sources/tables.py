@@ -169,7 +169,11 @@ def category_labels(spark: SparkSession, source: DataFrame | str, fmt: str = "pa
 
 @dataclass(frozen=True)
 class Tables:
-    """The inputs of the reports, as returned by the readers above."""
+    """The inputs of the reports, as returned by the readers above.
+
+    ``delegation_intervals`` and ``balance_history`` are tables that ``operators.history`` makes of the
+    delegations and transfers; reports over all chains read them instead of all events where given.
+    """
 
     delegate_changed: DataFrame | None = None
     transfers: DataFrame | None = None
@@ -178,3 +182,5 @@ class Tables:
     address_names: DataFrame | None = None
     ens: DataFrame | None = None
     labels: DataFrame | None = None
+    delegation_intervals: DataFrame | None = None
+    balance_history: DataFrame | None = None
