@@ -43,13 +43,14 @@ def balance_at_ranks(holders: Sized, ks: Sequence[int], window_rows: int = WINDO
     held = {k: F.col("units").eqNullSafe(F.lit(at[str(k)].value).cast(UNITS)) for k in ks}
     ends = holders.df.agg(
         *[f(F.when(held[k], F.col("balance"))).alias(f"{name}_{k}") for k in ks for name, f in (("low", F.min), ("high", F.max))],
+        *[F.count_if(held[k] & F.col("balance").isNull()).alias(f"none_{k}") for k in ks],
         F.count("units").alias("known"),
     ).first()
     found = {}
     for k in ks:
         if at[str(k)].value is None and k > holders.rows:
             found[k] = None
-        elif ends[f"low_{k}"] == ends[f"high_{k}"]:
+        elif ends[f"low_{k}"] == ends[f"high_{k}"] and not ends[f"none_{k}"]:
             found[k] = ends[f"high_{k}"]
         else:
             above = ends["known"] if at[str(k)].value is None else at[str(k)].above

@@ -62,7 +62,9 @@ def places(df: DataFrame, value: str, wanted: Mapping[str, tuple[Column, int]],
     rows = df.where(units.isNotNull()).select(units.alias("units"), group.alias("group")).where("group IS NOT NULL")
     figures = F.count(F.lit(1)).alias("rows"), F.min("units").alias("low"), F.max("units").alias("high")
 
-    digits = F.length(F.abs("units").cast("string")) * F.signum(F.col("units").cast("double")).cast("int")
+    # Not by F.abs: that rounds to 34 digits.
+    digits = F.length(F.translate(F.col("units").cast("string"), "-", ""))
+    digits = F.when(F.col("units") < 0, -digits).when(F.col("units") > 0, digits).otherwise(0)
     cells: dict[int, list[tuple[Decimal, Decimal, int]]] = {}
     for r in rows.groupBy("group", digits.alias("digits")).agg(*figures).collect():
         cells.setdefault(r["group"], []).append((r["low"], r["high"], r["rows"]))
