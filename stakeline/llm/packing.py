@@ -7,12 +7,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import store, trim
+from stakeline.llm.common import store, text_slices, trim
 from stakeline.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -65,23 +65,20 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
 
 def _cut(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, strip=False)
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            ids = batch.column(0).to_pylist()
-            for doc, found in zip(ids, encode.batches(batch.column(1).to_pylist())):
-                found = np.append(found, np.uint32(end)).astype("<u4")
-                start, stop = 0, len(found) % capacity or capacity
-                while start < len(found):
-                    data = found[start:stop].tobytes()
-                    row = (doc, len(found[:stop]) // capacity - (len(found) % capacity == 0), start, stop - start)
-                    for column, value in zip(columns, (*row, zlib.crc32(data), data)):
-                        column.append(value)
+        encode, last = encoder(path, strip=False), end.to_bytes(4, "little")
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        for batch in (part for whole in batches for part in text_slices(whole, "text")):
+            rows: list[tuple] = []
+            ids = batch.column("doc_id").to_pylist()
+            for doc, found in zip(ids, encode.batches(batch.column("text").to_pylist())):
+                data, total = found.tobytes() + last, len(found) + 1
+                start, stop = 0, total % capacity or capacity
+                for piece in range(-(-total // capacity)):
+                    part = data[4 * start : 4 * stop]
+                    rows.append((doc, piece, start, stop - start, zlib.crc32(part), part))
                     start, stop = stop, stop + capacity
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
-        encode.forget()
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
         trim()
 
     return run
@@ -105,13 +102,14 @@ def pieces(
 
 
 def _pack(capacity: int, open_bins: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows["_size"] = -rows["length"]
-        rows = rows.sort_values(["_size", "_order", "doc_id", "piece", "start"], kind="stable")
-        places, offsets = best_fit(rows["length"].tolist(), capacity, open_bins)
-        rows["sequence_id"] = (rows["_stream"].astype("int64") * (1 << 32)) + np.array(places, dtype=np.int64)
-        rows["offset"] = np.array(offsets, dtype=np.int64)
-        return rows.drop(columns=["_stream", "_order", "_size"])
+    def run(rows: pa.Table) -> pa.Table:
+        stream = rows.column("_stream")[0].as_py()
+        keys = [("length", "descending"), *((c, "ascending") for c in ("_order", "doc_id", "piece", "start"))]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=keys))
+        places, offsets = best_fit(rows.column("length").to_pylist(), capacity, open_bins)
+        rows = rows.drop_columns(["_stream", "_order"])
+        rows = rows.append_column("sequence_id", pa.array(np.array(places, dtype=np.int64) + (stream << 32)))
+        return rows.append_column("offset", pa.array(offsets, pa.int64()))
 
     return run
 
@@ -125,16 +123,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN, stre
     """
     count = max(math.ceil(parts.count() / stream), 1)
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
-    dealt = parts.withColumns({"_order": order, "_no_id": F.col("doc_id").isNull()})
-    # pandas would turn ids into floating-point numbers if one of them were NULL.
-    dealt = dealt.withColumns(
-        {"doc_id": F.coalesce("doc_id", F.lit(0)), "_stream": F.pmod(F.xxhash64("_order"), F.lit(count))}
-    )
-    kinds = [*parts.dtypes, ("_no_id", "boolean"), ("sequence_id", "bigint"), ("offset", "bigint")]
-    packed = dealt.groupBy("_stream").applyInPandas(
+    dealt = parts.withColumn("_order", order).withColumn("_stream", F.pmod(F.xxhash64("_order"), F.lit(count)))
+    kinds = [*parts.dtypes, ("sequence_id", "bigint"), ("offset", "bigint")]
+    return dealt.groupBy("_stream").applyInArrow(
         _pack(capacity, open_bins), ", ".join(f"{name} {kind}" for name, kind in kinds)
     )
-    return packed.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).drop("_no_id")
 
 
 def pack_documents(

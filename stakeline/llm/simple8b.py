@@ -37,37 +37,48 @@ LOW60 = np.uint64(ESCAPE)
 def pack(values: np.ndarray) -> np.ndarray:
     """Words for ``values``; each word takes as many of the next values as any selector allows."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
-    n = len(values)
     big = values >= LOW60
     if big.any():
         return _pack_with_escapes(values, big)
-    if not n:
+    if not len(values):
         return np.zeros(0, dtype="<u8")
+    return pack_blocks(values, len(values))[0]
+
+
+def pack_blocks(values: np.ndarray, size: int) -> list[np.ndarray]:
+    """Words of each ``size`` values (the last block may hold fewer), all blocks side by side.
+
+    No value may need an escape.
+    """
+    n = len(values)
+    bits = np.full((-(-n // size), size), 255, dtype=np.uint8)
+    bits.ravel()[:n] = _bits(values)
     # For each place the first selector whose count of values from there on fits its width.
-    widest = _widest(_bits(values))
-    choice = np.full(n, 15, dtype=np.uint8)
-    open_ = np.ones(n, dtype=bool)
-    for selector in range(15):
-        if COUNTS[selector] <= n:
-            fits = widest[int(COUNTS[selector])][:n] <= WIDTHS[selector]
-            choice[open_ & fits] = selector
-            open_ &= ~fits
-    # Follow the words from the first value on.
-    jump, at, heads = COUNTS[choice].tolist(), 0, []
-    while at < n:
-        heads.append(at)
-        at += jump[at]
+    widest = _widest(bits)
+    choice = np.full(bits.shape, 15, dtype=np.uint8)
+    for selector in range(14, -1, -1):
+        if COUNTS[selector] <= size:
+            choice[widest[int(COUNTS[selector])][:, :size] <= WIDTHS[selector]] = selector
+    # Follow the words of each block from its first value on.
+    heads, ends = [], []
+    for start, jump in zip(range(0, n, size), COUNTS[choice].tolist()):
+        at, stop = 0, min(size, n - start)
+        while at < stop:
+            heads.append(start + at)
+            at += jump[at]
+        ends.append(len(heads))
     heads = np.array(heads)
-    selector = choice[heads]
+    selector = choice.ravel()[heads]
     words = selector.astype(np.uint64) << np.uint64(60)
     for kind in np.unique(selector):
-        count, width = int(COUNTS[kind]), np.uint64(WIDTHS[kind])
-        mine = np.flatnonzero(selector == kind)
+        count, width = int(COUNTS[kind]), int(WIDTHS[kind])
         if width:
-            each = np.arange(count)
-            parts = values[heads[mine][:, None] + each] << (each.astype(np.uint64) * width)
-            words[mine] |= np.bitwise_or.reduce(parts, axis=1)
-    return words.astype("<u8")
+            mine = np.flatnonzero(selector == kind)
+            first, total = heads[mine], np.zeros(len(mine), dtype=np.uint64)
+            for k in range(count):
+                total |= values[first + k] << np.uint64(k * width)
+            words[mine] |= total
+    return np.split(words.astype("<u8"), ends[:-1])
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -78,12 +89,13 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def _widest(bits: np.ndarray) -> dict[int, np.ndarray]:
-    """For each count of a selector, the most bits among so many values from each place; 255 past the end."""
-    end = np.full(1 + COUNTS[0], 255, dtype=np.uint8)
-    found = {1: np.concatenate([bits, end])}
+    """For each count of a selector, the most bits among so many values from each place of a block; 255 past its end."""
+    end = np.full((len(bits), 1 + COUNTS[0]), 255, dtype=np.uint8)
+    found = {1: np.concatenate([bits, end], axis=1)}
     for size, left, right in SUMS:
-        one, two = found[left], found[right][left:]
-        found[size] = np.maximum(one[: len(two)], two[: len(one)])
+        one, two = found[left], found[right][:, left:]
+        width = min(one.shape[1], two.shape[1])
+        found[size] = np.maximum(one[:, :width], two[:, :width])
     return found
 
 
@@ -140,17 +152,18 @@ class Writer:
             self._flush(last=False)
 
     def _flush(self, last: bool) -> None:
-        ids, at = np.concatenate([np.zeros(0, dtype=np.uint64), *self.open]), 0
-        while len(ids) - at >= BLOCK or (last and at < len(ids)):
-            data = pack(ids[at : at + BLOCK]).tobytes()
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *self.open])
+        done = len(ids) if last else len(ids) // BLOCK * BLOCK
+        ids, rest = ids[:done].astype(np.uint64), ids[done:]
+        plain = done and ids.max() < LOW60
+        blocks = pack_blocks(ids, BLOCK) if plain else [pack(ids[k : k + BLOCK]) for k in range(0, done, BLOCK)]
+        for k, words in enumerate(blocks):
             self.places.append(self.place)
             self.firsts.append(self.total)
-            self.stream.write(data)
-            self.place += len(data)
-            self.total += min(BLOCK, len(ids) - at)
-            at += BLOCK
-        self.open = [ids[at:]] if at < len(ids) else []
-        self.size = max(len(ids) - at, 0)
+            self.stream.write(words.tobytes())
+            self.place += words.nbytes
+            self.total += min(BLOCK, done - k * BLOCK)
+        self.open, self.size = [rest] if len(rest) else [], len(rest)
 
     def close(self) -> int:
         """Writes the rest and the footer; gives the number of values."""

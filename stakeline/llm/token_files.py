@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import new_path, store
+from stakeline.llm.common import new_path, store, text_slices, trim
 from stakeline.llm.simple8b import Reader, Writer
 from stakeline.llm.tokens import encoder
 
@@ -38,17 +38,18 @@ def _write(folder: str, tokenizer: str, end: int):
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = system.open_output_stream(path, compression=None)
                 writer = Writer(stream)
-            names = batch.column(0).fill_null(NO_ID).to_pylist()
-            for doc, ids in zip(names, encode.batches(batch.column(1).to_pylist())):
-                writer.add(doc, np.append(ids, np.uint32(end)))
-                docs += 1
-        encode.forget()
+            for piece in text_slices(batch, "text"):
+                names = piece.column("id").fill_null(NO_ID).to_pylist()
+                for doc, ids in zip(names, encode.batches(piece.column("text").to_pylist())):
+                    writer.add(doc, np.append(ids, np.uint32(end)))
+                    docs += 1
         if writer is not None:
             total = writer.close()
             size = stream.tell()
             stream.close()
             columns = [[part], [f"{folder}/{path.rpartition('/')[2]}"], [size], [docs], [total]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "path", "bytes", "docs", "ids"])
+        trim()
 
     return run
 
@@ -59,13 +60,15 @@ def write(
     """Encode whole texts, append ``end`` to each, and write files to the shared ``folder``.
 
     Documents are in ascending order of their ids over all files, those without an id first; rows
-    that share an id are in the order of their texts. Returns the list of files ``part, path, bytes,
+    that share an id are in the order of a hash of their texts. Returns the list of files ``part, path, bytes,
     docs, ids`` in that order. NULL texts are empty. No documents, no files.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(math.ceil(total / FILE_BYTES), 1)
-    sorted_ = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+    # Rows that share an id, or have none, may go to several files; the text's hash orders them.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sorted_ = rows.repartitionByRange(files, "id", "hash").sortWithinPartitions("id", "hash", "text").drop("hash")
     return store(sorted_.mapInArrow(_write(folder, tokenizer, end), FILES), "token-files")
 
 
@@ -92,8 +95,8 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def read(spark: SparkSession, files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, ids`` per document from the files in a list of them.
 
-    ``start`` counts the ids of all documents before it in all files. The list, one row per file,
-    goes through the driver. ``ids`` are little-endian unsigned 32-bit numbers.
+    ``start`` counts the ids of all documents before it in all files. The list, one row per file of
+    some 32 MB of text, goes through the driver. ``ids`` are little-endian unsigned 32-bit numbers.
     """
     listed, before = [], 0
     for row in files.orderBy("part").collect():

@@ -10,8 +10,8 @@ from functools import cache
 
 import numpy as np
 
-# Pieces, and words, that a worker remembers at most (a text may add some).
-MEMORY = 300_000
+# Strings of a generation of a worker's memory, which holds two (a text may add some).
+SEEN = 400_000
 # Characters encoded at once.
 CHARS = 1 << 20
 # What regular expressions of the tokenizers library call white space.
@@ -64,8 +64,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.strip = strip
-        self.pieces_seen: dict[str, bytes] = {}
-        self.words_seen: dict[str, bytes] = {}
+        # Ids of pieces and of words (a word is a piece too): used lately, and before that.
+        self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.strip:
@@ -85,35 +86,44 @@ class Encoder:
     def _ids(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that the memory in use lacks; remembers it."""
+        ids = self.before.get(word)
+        if ids is None:
+            if word.isascii() and word.isprintable():
+                shown = word.replace(" ", _byte_chars()[0x20])
+            else:
+                shown = word.encode().decode("latin-1").translate(_byte_chars())
+            ids = self._ids(shown)
+        self.seen[word] = ids
+        return ids
+
     def _learn(self, new: set[str]) -> None:
         """Ids, as bytes, of new pieces.
 
         Pieces of plain Latin letters, digits and ASCII marks are cut here as the library would.
         """
-        if len(self.words_seen) > MEMORY:
-            self.words_seen.clear()
-        known, plain, cut = self.words_seen, _latin.fullmatch, (_stripped if self.strip else _spaced_words).findall
+        seen, before = self.seen, self.before.get
+        known, plain, cut = seen.get, _latin.fullmatch, (_stripped if self.strip else _spaced_words).findall
         for piece in new:
-            if not plain(piece):
-                self.pieces_seen[piece] = b"".join(map(self._ids, self._words(piece)))
-                continue
-            parts = []
-            for word in cut(piece.lower() if self.strip else piece):
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = self._ids(word.encode().decode("latin-1").translate(_byte_chars()))
-                parts.append(ids)
-            self.pieces_seen[piece] = b"".join(parts)
+            ids = before(piece)
+            if ids is not None:
+                seen[piece] = ids
+            elif plain(piece):
+                words = cut(piece.lower() if self.strip else piece)
+                ids = [known(w) or self._word(w) for w in words]
+                if words != [piece]:
+                    seen[piece] = b"".join(ids)
+            else:
+                seen[piece] = b"".join(map(self._ids, self._words(piece)))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for NULL or an empty text."""
         cut = [self.pieces(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.pieces_seen)
-        if len(self.pieces_seen) + len(new) > MEMORY:
-            self.pieces_seen.clear()
-            new = set().union(*cut)
-        self._learn(new)
-        known = self.pieces_seen.__getitem__
+        if len(self.seen) > SEEN:
+            self.seen, self.before = {}, self.seen
+        self._learn(set().union(*cut).difference(self.seen))
+        known = self.seen.__getitem__
         return [np.frombuffer(b"".join(map(known, pieces)), dtype="<u4") for pieces in cut]
 
     def batches(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
@@ -128,12 +138,8 @@ class Encoder:
                 held, size = [], 0
         yield from self.encode(held)
 
-    def forget(self) -> None:
-        """Frees what was remembered: a worker may go on to other work."""
-        self.pieces_seen, self.words_seen = {}, {}
-
 
 @cache
 def encoder(path: str, strip: bool) -> Encoder:
-    """One encoder per worker process."""
+    """One encoder per worker process; what it remembers serves all tasks that run there."""
     return Encoder(path, strip)
