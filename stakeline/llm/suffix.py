@@ -23,22 +23,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import fresh, store, trim
+from stakeline.llm.common import fresh, store, text_slices, trim
 
 LENGTH = 200
 SEED = 64
 # Windows that a task hashes at once, the most windows in a run, bytes of text per key shard,
-# bytes of passages per suffix array, runs of one key per piece, and the most keys, the largest
-# ones, that are cut into pieces.
+# bytes of passages per suffix array, and runs of one key per piece.
 BLOCK = 1 << 19
 RUN = 512
-KEY_SHARD = 32 << 20
+KEY_SHARD = 8 << 20
 ARRAY = 2 << 20
 HOT = 8192
-SPLIT_KEYS = 100_000
 
-# Documents whose runs a task holds at once.
-ROWS = 2048
+# Bytes of text whose runs a task holds at once.
+TEXT = 6 << 20
 
 RADIX = np.uint64(0x5851F42D4C957F2D)
 MASK = (1 << 64) - 1
@@ -48,7 +46,7 @@ MEMBER = np.dtype([("id", "<i8"), ("th", "<i4"), ("lo", "<u4")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 ROUTED = "shard bigint, settled boolean, id bigint, th int, runs binary"
-PASSAGES = "shard bigint, n binary, hot binary, many binary, members binary, data binary"
+PASSAGES = "shard bigint, n binary, hot binary, many binary, members binary, keys binary, data binary"
 SPANS = "id bigint, th int, spans binary, digest binary, pos bigint"
 
 
@@ -131,7 +129,7 @@ def _find_keys(length: int, seed: int, shards: int):
     """Runs by key shard. A key found twice in some rows is settled there: it sends one row only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in (part for whole in batches for part in text_slices(whole, "text", TEXT)):
             data, offsets = _bytes_of(batch.column("text"))
             ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             parts = list(key_runs(data, offsets, length, seed))
@@ -186,40 +184,42 @@ def _repeated_keys(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _passages(length: int, shards: int, hot: dict[int, int]):
-    """The bytes of each run to the shard of its key; equal runs of a batch once, with their places."""
+def _passages(length: int, shards: int):
+    """The bytes of each run to the shard of its key; equal runs of a slice once, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, blobs = batch.column("text"), batch.column("runs")
+        for batch in (part for whole in batches for part in text_slices(whole, "text", TEXT)):
+            texts, blobs, crowded = batch.column("text"), batch.column("runs"), batch.column("hot")
             ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             held: dict[int, dict[bytes, list]] = {}
             for d in range(batch.num_rows):
                 text = texts[d].as_py()
                 runs = np.unique(np.frombuffer(b"".join(blobs[d].as_py()), dtype=RUNS))  # repeated rows send them twice
+                hot = {h["key"] & MASK: h["pieces"] for h in crowded[d].as_py() or ()}
                 member = (int(ids[d]), int(ths[d]))
                 for key, lo, n in zip(runs["key"].tolist(), runs["lo"].tolist(), runs["n"].tolist()):
                     pieces = hot.get(key, 0)
                     place = ids[d].tobytes() + lo.to_bytes(4, "little")
                     piece = xxhash.xxh64_intdigest(place, key) % pieces if pieces else 0
                     shard = (key + piece * 0x9E3779B97F4A7C15 >> 7 & MASK) % shards
-                    entry = held.setdefault(shard, {}).setdefault(text[lo : lo + n + length - 1], [pieces > 0])
+                    entry = held.setdefault(shard, {}).setdefault(text[lo : lo + n + length - 1], [pieces > 0, key])
                     entry.append((*member, lo))
             rows = []
             for shard, found in held.items():
-                members = np.array([m for entry in found.values() for m in entry[1:]], dtype=MEMBER)
+                members = np.array([m for entry in found.values() for m in entry[2:]], dtype=MEMBER)
                 rows.append(
                     (
                         shard,
                         np.array([len(x) - length + 1 for x in found], dtype="<u2").tobytes(),
                         np.array([entry[0] for entry in found.values()], dtype="u1").tobytes(),
-                        np.array([len(entry) - 1 for entry in found.values()], dtype="<u4").tobytes(),
+                        np.array([len(entry) - 2 for entry in found.values()], dtype="<u4").tobytes(),
                         members.tobytes(),
+                        np.array([entry[1] for entry in found.values()], dtype="<u8").tobytes(),
                         b"".join(found),
                     )
                 )
             if rows:
-                names = ["shard", "n", "hot", "many", "members", "data"]
+                names = ["shard", "n", "hot", "many", "members", "keys", "data"]
                 columns = [pa.array(x, type=pa.binary() if i else pa.int64()) for i, x in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         trim()
@@ -334,28 +334,42 @@ def _spans(flags: np.ndarray, length: int) -> np.ndarray:
 
 
 def _search(length: int):
+    """Spans of repeated windows by document, and digests of a hot key's windows that no other here equals.
+
+    Windows of different keys differ. So a passage whose key no other passage of the shard has needs
+    no suffix array, unless it repeats a window itself: all its windows occur as often as it does.
+    """
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found: dict[bytes, list] = {}
         for row in rows.itertuples(index=False):
             n, hot = np.frombuffer(row.n, dtype="<u2").tolist(), np.frombuffer(row.hot, dtype="u1").tolist()
             many, at, m = np.frombuffer(row.many, dtype="<u4").tolist(), 0, 0
             members = np.frombuffer(row.members, dtype=MEMBER)
-            for windows, is_hot, count in zip(n, hot, many):
-                entry = found.setdefault(row.data[at : at + windows + length - 1], [False, []])
+            for windows, is_hot, count, key in zip(n, hot, many, np.frombuffer(row.keys, dtype="<u8").tolist()):
+                entry = found.setdefault(row.data[at : at + windows + length - 1], [False, [], key])
                 entry[0] |= bool(is_hot)
                 entry[1].append(members[m : m + count])
                 at, m = at + windows + length - 1, m + count
-        data = np.frombuffer(b"".join(found), dtype=np.uint8)
         n = np.array([len(x) - length + 1 for x in found], dtype=np.int64)
-        first = np.cumsum(n + length - 1) - (n + length - 1)
-        order, group = repeated_windows(data, first, n, length)
-        copies = np.array([sum(len(m) for m in entry[1]) for entry in found.values()])
+        _, place, count = np.unique(np.array([x[2] for x in found.values()], dtype="<u8"), return_inverse=True, return_counts=True)
+        compared = count[place] > 1
+        for k, text in enumerate(found):
+            if not compared[k] and n[k] > 1:
+                compared[k] = len({text[p : p + length] for p in range(n[k])}) < n[k]
+        data = np.frombuffer(b"".join(x for x, c in zip(found, compared.tolist()) if c), dtype=np.uint8)
+        first, some = np.zeros(len(n), dtype=np.int64), n[compared]
+        first[compared] = np.cumsum(some + length - 1) - (some + length - 1)
         flags = np.zeros(len(data), dtype=bool)
-        flags[order] = np.bincount(group)[group] > 1
+        if len(some):
+            order, group = repeated_windows(data, first[compared], some, length)
+            flags[order] = np.bincount(group)[group] > 1
+        copies = np.array([sum(len(m) for m in entry[1]) for entry in found.values()])
         place: dict[tuple[int, int], list[np.ndarray]] = {}
         digests: list[tuple] = []
-        for k, (text, (is_hot, parts)) in enumerate(found.items()):
-            own = flags[first[k] : first[k] + n[k]] | (copies[k] > 1)
+        for k, (text, (is_hot, parts, _)) in enumerate(found.items()):
+            own = flags[first[k] : first[k] + n[k]] if compared[k] else np.zeros(n[k], dtype=bool)
+            own = own | (copies[k] > 1)
             members = np.concatenate(parts)
             if is_hot:
                 some = members[0]
@@ -407,7 +421,7 @@ def merged_spans(blobs: list[bytes]) -> np.ndarray:
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "text", TEXT)):
             rows = []
             for text, blobs in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 spans, kept, at = merged_spans(blobs), [], 0
@@ -427,6 +441,7 @@ def _cut(with_text: bool):
             columns = [pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)]
             names = ["id", "th", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *columns], names=names)
+        trim()
 
     return run
 
@@ -471,19 +486,24 @@ def removals(
     long_enough = long_enough.drop("no_id")
     routed = long_enough.mapInArrow(_find_keys(length, seed, shards), ROUTED)
     runs = routed.groupBy("shard").applyInPandas(_repeated_keys, "id bigint, th int, runs binary")
-    runs = runs.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))
+    runs = store(runs.groupBy("id", "th").agg(F.collect_list("runs").alias("runs")), "runs")
+    size = runs.select(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r)).alias("b"))
+    count = (size.agg(F.sum("b")).first()[0] or 0) // RUNS.itemsize
+    each = runs.select(F.explode("runs").alias("r")).mapInArrow(_keys_of, "key bigint, n bigint")
+    crowded = each.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    crowded = store(crowded.select("key", F.ceil(F.col("n") / hot).alias("pieces")), "hot-keys")
+    pieces = not crowded.isEmpty()
+    if pieces:
+        holders = runs.mapInArrow(_documents_of, "id bigint, th int, key bigint").join(crowded, "key")
+        holders = holders.groupBy("id", "th").agg(F.collect_list(F.struct("key", "pieces")).alias("hot"))
+        runs = runs.join(holders, ["id", "th"], "left")
+    else:
+        runs = runs.withColumn("hot", F.array().cast("array<struct<key: bigint, pieces: bigint>>"))
     # Repeated rows are one document.
     texts = long_enough.join(runs, ["id", "th"]).dropDuplicates(["id", "th"])
     texts = store(texts, "candidates")
-
-    size = texts.select(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r)).alias("b"))
-    count = (size.agg(F.sum("b")).first()[0] or 0) // RUNS.itemsize
-    each = texts.select(F.explode("runs").alias("r")).mapInArrow(_keys_of, "key bigint, n bigint")
-    crowded = each.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
-    crowded = crowded.orderBy(F.desc("n"), "key").limit(SPLIT_KEYS)
-    pieces = {row["key"] & MASK: -(-row["n"] // hot) for row in crowded.collect()}
     arrays = max(math.ceil(count * (length + 70) / array), 1)
-    passages = texts.mapInArrow(_passages(length, arrays, pieces), PASSAGES)
+    passages = texts.mapInArrow(_passages(length, arrays), PASSAGES)
     found = passages.groupBy("shard").applyInPandas(_search(length), SPANS)
     spans = found.select("id", "th", "spans")
     if pieces:
@@ -517,6 +537,17 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
+def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each document."""
+    for batch in batches:
+        blobs = [b"".join(x) for x in batch.column("runs").to_pylist()]
+        keys = [np.unique(np.frombuffer(x, dtype=RUNS)["key"]) for x in blobs]
+        many = [len(k) for k in keys]
+        columns = [np.repeat(batch.column(c).to_numpy(), many) for c in ("id", "th")]
+        columns.append(np.concatenate([np.zeros(0, dtype=np.uint64), *keys]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "th", "key"])
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row of ``docs``.
 
