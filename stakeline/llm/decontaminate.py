@@ -39,30 +39,69 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def tiling(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+def runs(item: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches of at least ``size`` words: places in the item and in the document, and lengths.
+
+    Karp-Rabin hashes of ``size`` words tell where a match may lie. Only pairs of places that begin
+    a match are paired: those whose words before differ. So a word that repeats a thousand times on
+    both sides makes two thousand matches, one a diagonal, and not a million pairs.
+    """
+    wanted = rolling(item, size)
+    known = np.unique(wanted)
+    hashes = rolling(doc, size)
+    at = np.flatnonzero(np.isin(hashes, known))
+    before = np.where(at > 0, doc[at - 1], -1)
+    keys = np.searchsorted(known, hashes[at])
+    order = np.lexsort((before, keys))
+    at, before, keys = at[order], before[order], keys[order]
+    cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(before) != 0)) + 1
+    by_hash = np.argsort(wanted, kind="stable")
+    low = np.searchsorted(wanted[by_hash], known, "left")
+    high = np.searchsorted(wanted[by_hash], known, "right")
+    ahead = np.concatenate([[-2], item[:-1]])
+    places: list[tuple[np.ndarray, np.ndarray]] = []
+    for members in np.split(np.arange(len(at)), cuts) if len(at) else ():
+        k, last = keys[members[0]], before[members[0]]
+        mine = by_hash[low[k] : high[k]]
+        mine = mine[ahead[mine] != last]
+        places.append((np.repeat(mine, len(members)), np.tile(at[members], len(mine))))
+    p = np.concatenate([x for x, _ in places]) if places else np.zeros(0, dtype=np.int64)
+    q = np.concatenate([x for _, x in places]) if places else np.zeros(0, dtype=np.int64)
+    same = np.ones(len(p), dtype=bool)
+    for k in range(size):  # hashes may collide
+        same &= item[p + k] == doc[q + k]
+    p, q = p[same], q[same]
+    length, live = np.full(len(p), size), np.arange(len(p))
+    while len(live):
+        i, j = p[live] + length[live], q[live] + length[live]
+        live, i, j = (x[(i < len(item)) & (j < len(doc))] for x in (live, i, j))
+        live = live[item[i] == doc[j]]
+        length[live] += 1
+    return p, q, length
+
+
+def tiling(item: np.ndarray, doc: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """Tiles ``(item position, document position, length)`` that greedy string tiling marks.
 
-    ``seeds`` are all pairs of positions where ``size`` tokens agree. Runs of seeds along a diagonal
-    are the maximal matches. The longest goes first (ties: the first in the item, then in the
-    document) and marks its tokens on both sides; what an earlier tile has marked is cut out of the
-    later ones, whose rests of ``size`` tokens or more stay in the race.
+    The longest match goes first (ties: the first in the item, then in the document) and marks its
+    tokens on both sides; what an earlier tile has marked is cut out of the later ones, whose rests
+    of ``size`` tokens or more stay in the race.
     """
-    runs: list[list[int]] = []
-    for p, q in sorted(seeds, key=lambda s: (s[1] - s[0], s[0])):
-        if runs and runs[-1][1] - runs[-1][0] == q - p and runs[-1][0] + runs[-1][2] - size + 1 == p:
-            runs[-1][2] += 1
-        else:
-            runs.append([p, q, size])
-    heap = [(-n, p, q) for p, q, n in runs]
+    p, q, length = runs(item, doc, size)
+    heap = list(zip((-length).tolist(), p.tolist(), q.tolist()))
     heapq.heapify(heap)
     item_marks, doc_marks, tiles = np.zeros(len(item), dtype=bool), np.zeros(len(doc), dtype=bool), []
-    while heap:
+    open_ = len(item)
+    while heap and open_ >= size:
         n, p, q = heapq.heappop(heap)
         taken = item_marks[p : p - n] | doc_marks[q : q - n]
         if not taken.any():
             item_marks[p : p - n] = doc_marks[q : q - n] = True
+            open_ += n
             tiles.append((p, q, -n))
             continue
+        if taken.all():
+            continue
         edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
         for start, end in zip(edges[::2], edges[1::2]):
             if end - start >= size:
@@ -85,42 +124,46 @@ class Index:
                 hashes = rolling(ids, size)
                 found[size].append((hashes, np.full(len(hashes), len(self.items)), np.arange(len(hashes))))
                 self.items.append((item, ids, size))
+        self.lengths = np.array([len(ids) for _, ids, _ in self.items], dtype=np.int64)
         self.seeds = {}
         for size, parts in found.items():
             hashes, owner, place = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(hashes, kind="stable")
             self.seeds[size] = hashes[order], owner[order], place[order]
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
-        """Items covered by tiles of ``text`` to the wanted share, in the order of their ids."""
-        get = self.words.get
-        doc = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        unknown = np.concatenate([[0], np.cumsum(doc == 0)])
+    def _reached(self, doc: np.ndarray) -> list[int]:
+        """Items of whose words seeds in ``doc`` cover enough, whatever overlaps there."""
+        unknown, found = np.concatenate([[0], np.cumsum(doc == 0)]), []
         for size, (hashes, owner, place) in self.seeds.items():
             if len(doc) < size:
                 continue
             known = np.flatnonzero(unknown[size:] == unknown[:-size])
-            mine = rolling(doc, size)[known]
+            mine = np.unique(rolling(doc, size)[known])
             low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
-            for at in np.flatnonzero(high > low):
-                q = int(known[at])
-                for k in range(low[at], high[at]):
-                    ids, p = self.items[owner[k]][1], int(place[k])
-                    if (ids[p : p + size] == doc[q : q + size]).all():
-                        pairs[int(owner[k])].append((p, q))
+            many = high - low
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            if not len(at):
+                continue
+            order = np.lexsort((place[at], owner[at]))
+            item, start = owner[at][order], place[at][order]
+            last = np.append(item[1:] != item[:-1], True)
+            step = np.where(last, size, np.minimum(size, np.append(start[1:], 0) - start))
+            first = np.flatnonzero(np.append(True, last[:-1]))
+            covered = np.add.reduceat(step, first)
+            enough = covered >= self.coverage * self.lengths[item[first]]
+            found += item[first][enough].tolist()
+        return found
+
+    def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
+        """Items covered by tiles of ``text`` to the wanted share, in the order of their ids."""
+        get = self.words.get
+        doc = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
         found = []
-        for k, seeds in pairs.items():
+        for k in self._reached(doc):
             item, ids, size = self.items[k]
-            reach = np.zeros(len(ids) + 1, dtype=np.int64)
-            for p in {p for p, _ in seeds}:
-                reach[p] += 1
-                reach[p + size] -= 1
-            if np.count_nonzero(np.cumsum(reach)) < self.coverage * len(ids):
-                continue  # even all seeds together cover too little
-            tiles = tiling(ids, doc, seeds, size)
+            tiles = tiling(ids, doc, size)
             matched = sum(n for _, _, n in tiles)
-            if matched >= self.coverage * len(ids):
+            if tiles and matched >= self.coverage * len(ids):
                 found.append((item, matched / len(ids), matched, len(tiles), max(n for _, _, n in tiles)))
         return sorted(found)
 

@@ -127,6 +127,14 @@ def _compare(threshold: float):
     return run
 
 
+def _one_vector(usable: DataFrame, same: DataFrame) -> DataFrame:
+    """Links ``node, root`` between classes of equal vectors that rows of one id belong to."""
+    several = usable.groupBy("id").count().where("count > 1").select("id")
+    theirs = usable.join(several, "id", "left_semi").join(same.select("label", "unit", "node"), ["label", "unit"])
+    least = theirs.groupBy("id").agg(F.min("node").alias("root"))
+    return theirs.join(least, "id").where("node <> root").select("node", "root")
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -150,7 +158,8 @@ def near_duplicates(
 
     A vector that is NULL, empty, zero, or has a component that is NULL or not finite links with
     nothing, as do a NULL label and a NULL id (whose component is NULL). Repeated rows count once
-    and come back once. Other columns are ignored; an empty table gives an empty result.
+    and come back once. Rows that share an id are one vector, which has the links of all of them;
+    ``n_links`` adds them up, so a neighbour of two of them counts twice. Other columns are ignored; an empty table gives an empty result.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")
@@ -185,7 +194,8 @@ def near_duplicates(
         .mapInArrow(_compare(threshold), FOUND)
     )
     found = store(found.groupBy("node", "root").agg(F.sum("n").alias("n")), "links")
-    place = components(found.select("node", "root")).select("node", "component")
+    links = found.select("node", "root").unionByName(_one_vector(usable, same))
+    place = components(links).select("node", "component")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     classes = same.join(counts, "node", "left").join(place, "node", "left")
     classes = classes.select(
@@ -196,7 +206,7 @@ def near_duplicates(
     )
     # NULL labels and units match nothing here.
     known = rows.where("id is not null").join(classes, ["label", "unit"], "left")
-    known = known.groupBy("id").agg(F.max("n_links").alias("n"), F.min("component_id").alias("c"))
+    known = known.groupBy("id").agg(F.sum("n_links").alias("n"), F.min("component_id").alias("c"))
     known = known.unionByName(rows.where("id is null").select("id"), allowMissingColumns=True)
     return known.select(
         F.col("id").alias("vec_id"),

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import roots, store, trim, without
+from stakeline.llm.common import fresh, roots, store, trim, without
 from stakeline.llm.components import components
 
 SEED = 42
@@ -190,6 +190,15 @@ def links(reps: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     return pairs.mapInPandas(_search(radius), "a bigint, b bigint")
 
 
+def _one_document(prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the representatives of fingerprints that rows of one id have."""
+    named = prints.where("id is not null")
+    several = named.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    theirs = named.join(several.select("id"), "id", "left_semi").distinct().join(reps, "fp")
+    least = theirs.groupBy("id").agg(F.min("rep").alias("b"))
+    return theirs.join(least, "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -202,14 +211,16 @@ def near_duplicates(
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked, and ``component_id``
     is the smallest id reachable. A NULL or empty text has fingerprint zero and links like any
-    other. Equal fingerprints collapse before any pair is looked at, so copies cost nothing. A row
-    without an id keeps a NULL component and links nothing. Repeated rows come back repeated, with
-    equal values. Other columns of ``docs`` are ignored; an empty table gives an empty result.
+    other. Equal fingerprints collapse before any pair is looked at, so copies cost nothing. Rows that
+    share an id are one document, which has the links of all its texts. A row without an id keeps a
+    NULL component and links nothing. Repeated rows come back repeated, with equal values. A very
+    long text is read whole, in its task. Other columns of ``docs`` are ignored; an empty table gives
+    an empty result.
     """
     prints = store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
     reps = store(reps, "representatives")
-    found = components(links(reps, radius, shard))
+    found = components(links(reps, radius, shard).unionByName(_one_document(prints, reps)))
     place = reps.join(found, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
@@ -225,12 +236,12 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each near-duplicate group.
 
-    Of rows without an id one of each fingerprint stays, the one whose text hashes lowest. Rows that
-    share an id are one document and come back once.
+    Of rows without an id one of each fingerprint stays, and of rows that share an id one: the one
+    whose text hashes lowest.
     """
     found = store(near_duplicates(docs, id_col, text_col, shingle, **options), "near-duplicates")
     kept = without(docs, id_col, store(found.where("component_id <> doc_id").select("doc_id").distinct(), "copies"))
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     alike = found.where("doc_id is null").groupBy("fingerprint").count().where("count > 1")
     named, nameless = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
     if not alike.isEmpty():
@@ -238,7 +249,12 @@ def drop_near_duplicates(
     elif repeated.isEmpty():
         return kept
     if not repeated.isEmpty():
-        named = named.dropDuplicates([id_col])
+        twice = store(repeated, "repeated-ids").toDF(name := fresh(docs, "_twice"))
+        same = F.col(id_col) == F.col(name)
+        some = named.join(twice, same, "left_semi")
+        first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64(text_col), F.col(text_col)))
+        some = some.groupBy(F.col(id_col).alias(name)).agg(first.alias("row")).select("row.*")
+        named = named.join(twice, same, "left_anti").unionByName(some)
     return nameless.unionByName(named)
 
 

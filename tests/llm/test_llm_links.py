@@ -167,3 +167,26 @@ def test_simhash_rows_without_an_id(spark):
     assert kept.columns == frame.columns and kept.schema == frame.schema
     got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=repr)
     assert got == sorted([(None, "one two three four"), (None, "another text"), (None, ""), (7, "one two three four")], key=repr)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_an_id_with_two_texts_joins_their_groups(spark, turn):
+    """Rows 3 and 5 share text A, rows 5 and 7 text B: one group, of which row 3 stays."""
+    a, b, c = "alpha beta gamma delta", "one two three four five six", "quite another text it is"
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, b + " x y z"), (10, c)][::turn]
+    frame = spark.createDataFrame([(*r, "x", 7, "y") for r in rows], DOCS)
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame).collect()}
+    assert found == {(3, 3), (5, 3), (7, 3), (9, 9), (10, 9)}
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(frame).collect()]
+    assert sorted(i for i, _ in kept) == [3, 9]
+    again = simhash.drop_near_duplicates(frame.repartition(3)).collect()
+    assert sorted(kept) == sorted((r["doc_id"], r["text"]) for r in again)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_an_id_with_two_vectors_joins_their_groups(spark, turn):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, x, 0), (5, x, 0), (5, y, 0), (7, y, 0), (8, z, 0), (9, z, 1)][::turn]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
+    found = {tuple(r) for r in embeddings.near_duplicates(frame, threshold=0.93).collect()}
+    assert found == {(3, 1, 3, True), (5, 2, 3, False), (7, 1, 3, False), (8, 0, 8, True), (9, 0, 9, True)}

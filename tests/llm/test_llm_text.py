@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -172,6 +173,20 @@ def test_tiling_equals_definition(item, doc):
     assert [(m[2], m[3]) for m in found] == ([(matched, tiles)] if matched else [])
 
 
+def test_words_that_repeat_make_no_pairs():
+    """Sums of lengths, not products, bound the work: each of these would be millions of pairs."""
+    item = decontaminate.Index([(1, "a " * 400)], 5, 0.8)
+    for n in (4000, 30_000):
+        start = time.process_time()
+        assert item.matches("a " * n) == [(1, 1.0, 400, 1, 400)]
+        assert time.process_time() - start < 5
+    p, _, length = decontaminate.runs(np.ones(400, dtype=int), np.ones(4000, dtype=int), 5)
+    assert len(p) == 400 + 4000 - 1 - 2 * 4 and length.max() == 400
+    phrase = "one two three four five six seven eight nine ten"
+    many = decontaminate.Index([(i, f"x{i} y{i} z{i} w{i} {phrase}") for i in range(3000)], 5, 0.8)
+    assert many.matches(f"{phrase} and " * 100) == []  # ten of fourteen words: no item is tiled
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 40])
 def test_leaks(spark, block_bytes):
     item = "one two three four five six seven eight nine ten"
