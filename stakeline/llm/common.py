@@ -51,16 +51,25 @@ def store(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table and file stored so far; call it when the results have been written."""
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Delete what was stored after the first ``since`` tables and files, but for the path ``keep``.
+
+    Call it when the results that read them have been written.
+    """
     jvm, removed = spark._jvm, 0
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    gone, _stored[since:] = [p for p in _stored[since:] if p != keep], [p for p in _stored[since:] if p == keep]
+    for stored in gone:
+        path = jvm.org.apache.hadoop.fs.Path(stored)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         removed += bool(fs.delete(path, True))
     return removed
 
 
+def stored() -> int:
+    """How many tables and files are stored now."""
+    return len(_stored)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have in any spelling."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stakeline.llm.common import fresh, store, without
+from stakeline.llm.common import fresh, store, trim, without
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -174,6 +174,7 @@ def _matcher(index) -> Callable[..., Column]:
         names = ("item", "coverage", "matched", "tiles", "longest")
         for texts in parts:
             yield pd.Series([[dict(zip(names, m)) for m in index.value.matches(t)] for t in texts])
+        trim()
 
     return match
 
@@ -219,7 +220,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     One row per row of ``docs`` and benchmark item that it covers; repeated rows give repeated
     results, a row without an id gives a NULL id, a NULL or empty text gives none. Items that share
-    an id are compared one by one.
+    an id are compared one by one. A very long text is compared whole, in its task; what that takes
+    grows with its words and with the matches it begins, not with pairs of places. Empty tables give
+    no rows; other columns are not read, so their names don't matter.
     """
     leaks = []
     for found in _matches(docs, items, text_col, **options):

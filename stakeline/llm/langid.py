@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from stakeline.llm.common import trim
+from stakeline.llm.common import text_slices, trim
 
 UNKNOWN = "und"
 PROFILE = 300
@@ -61,8 +61,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(totals, place, np.concatenate([c for _, c in parts]))
         return grams, totals
 
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    for batch in (part for whole in batches for part in text_slices(whole, "text")):
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
             grams = ngrams(text)
             held[lang].append(grams)
             sizes[lang] += len(grams[0])
@@ -77,6 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(totals[at : at + (1 << 16)])],
                 names=["lang", "gram", "n"],
             )
+    trim()
 
 
 def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> DataFrame:
@@ -153,7 +154,8 @@ def identify(
     Profiles come from all rows with an id outside the held-out fold, a text and a language; the
     prediction sees the text alone. A NULL text, a text without a letter, and any text if there is
     nothing to learn from, are ``und`` with score 0. A row without an id is predicted, not learned
-    from, and not held out. Repeated rows count and come back repeated.
+    from, and not held out. Repeated rows count and come back repeated; an empty table gives no
+    rows. Texts are read whole, however long. Other columns are not read, so their names don't matter.
     """
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     return docs.select(

@@ -89,19 +89,20 @@ LABELLERS: dict[str, Callable[[dict[str, float]], int]] = {
 }
 
 
-def votes(text: str | None) -> str:
-    """The labellers' votes as a string of digits, in their order."""
-    found = statistics(text)
+def votes(found: dict[str, float]) -> str:
+    """The labellers' votes on a text's ``statistics`` as a string of digits, in their order."""
     return "".join(str(label(found)) for label in LABELLERS.values())
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, found: dict[str, float] | None = None) -> np.ndarray:
     """Slots of a text, each once: its words and pairs of neighbours by shape, and shares by decade.
 
     A shape keeps what a word looks like, not which letters it has, so that the scorer learns how a
     text is written rather than what it is about; the commonest short words enter as they are.
+    ``found`` are the text's ``statistics``, if they are known.
     """
     text = text or ""
+    found = statistics(text) if found is None else found
     words = text.split()
     shapes = np.fromiter(map(_shape, words), dtype=np.int64, count=len(words))
     lower = text.lower().split()
@@ -109,7 +110,7 @@ def features(text: str | None) -> np.ndarray:
     pairs = (shapes[:-1] * 31 + shapes[1:]) * 2 + same[: max(len(words) - 1, 0)] if len(words) == len(lower) else shapes[:0]
     named = {f"w {w}" for w in set(lower) if len(w) <= 3}
     named |= {
-        f"q {k} {int(min(v, 1.0) * 10) if k != 'words' else int(v).bit_length()}" for k, v in statistics(text).items()
+        f"q {k} {int(min(v, 1.0) * 10) if k != 'words' else int(v).bit_length()}" for k, v in found.items()
     }
     named = np.fromiter((_slot(x) for x in named), dtype=np.int64, count=len(named))
     return np.unique(np.concatenate([shapes, pairs, named]) % SLOTS).astype(np.int32)
@@ -177,8 +178,8 @@ class Scorer:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(SLOTS))
     bias: float = 0.0
 
-    def score(self, text: str | None) -> float:
-        own = features(text)
+    def score(self, text: str | None, found: dict[str, float] | None = None) -> float:
+        own = features(text, found)
         total = self.bias + self.weights[own].sum() / np.sqrt(max(len(own), 1))
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
@@ -203,7 +204,7 @@ def _votes_of(column: Column) -> Column:
     @pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([votes(t) for t in texts])
+            yield pd.Series([votes(statistics(t)) for t in texts])
 
     return run(column)
 
@@ -244,18 +245,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     """``doc_id, score, weak_label, votes, keep`` per row of ``docs``.
 
     ``score`` is the scorer's, from 0 to 1, ``weak_label`` what the labellers' votes alone say, and
-    ``keep`` whether the score reaches ``threshold``. A NULL text is empty. Repeated rows count and
-    come back repeated; other columns are ignored.
+    ``keep`` whether the score reaches ``threshold``. A NULL text is empty; a very long one is read
+    whole. Repeated rows count and come back repeated; an empty table gives no rows. Other columns
+    are not read, so their names don't matter.
     """
     labels, scorer = fit(docs, id_col, text_col, **options)
 
     @pandas_udf("score double, weak_label double, votes string")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            cast = [votes(t) for t in texts]
+            known = [statistics(t) for t in texts]
+            cast = [votes(s) for s in known]
             table = np.array([[int(v) for v in c] for c in cast], dtype=int).reshape(-1, len(LABELLERS))
             yield pd.DataFrame(
-                {"score": [scorer.score(t) for t in texts], "weak_label": labels.posterior(table), "votes": cast}
+                {"score": [scorer.score(t, s) for t, s in zip(texts, known)], "weak_label": labels.posterior(table), "votes": cast}
             )
 
     found = docs.select(F.col(id_col).alias("doc_id"), scored(F.col(text_col)).alias("found"))

@@ -332,8 +332,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``doc_id, held_out, score, predicted, hits, quoted`` per row of ``docs``.
 
     Learns from labelled rows outside the held-out fold, and scores whole texts alone. A NULL or
-    empty text has the score of a text without hits. A row without an id is scored, not learned
-    from, and not held out. Repeated rows come back repeated.
+    empty text has the score of a text without hits; a very long one is read whole. A row without an
+    id is scored, not learned from, and not held out. Repeated rows come back repeated. No documents,
+    no rows; without a label to learn from nothing hits. Other columns are not read, so their names
+    don't matter.
     """
     model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, **options)
     return docs.select(

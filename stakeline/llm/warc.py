@@ -232,7 +232,9 @@ def write(
     Of rows with equal payloads of at least ``revisit_bytes`` the one with the largest id is a
     response and the others revisit it; rows that share that id are all responses. A row without an
     id revisits a response, and is one where no equal row has an id. A NULL payload is empty; a NULL
-    url gives way to the record's name. Equal payloads meet as digests, counted before the shuffle.
+    url gives way to the record's name, and blanks and the like in a url are percent-encoded, as
+    the header needs. Equal payloads meet as digests, counted before the shuffle. A very long payload
+    is one record. No rows, no records; other columns are not read, so their names don't matter.
     """
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -383,3 +385,57 @@ def test_quality(spark):
     assert (judged["keep"] == (judged["quality"] == 1)).mean() > 0.95
     assert judged[judged["quality"] == 1]["keep"].mean() > 0.97
     assert quality.score(docs.limit(0)).count() == 0
+
+
+def test_quality_equals_its_definition(spark):
+    """Votes, patterns, accuracies, the scorer's sample and its scores, each worked out in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(90_000, None), (90_001, ""), (90_002, "one two " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cast = {i: quality.votes(quality.statistics(t)) for i, t in rows}
+    counts = pd.Series(list(cast.values())).value_counts().sort_index()
+    table = np.array([[int(v) for v in p] for p in counts.index])
+    labels = quality.weigh(table, counts.to_numpy(dtype=float))
+    hashes = {r[0]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(string(doc_id), text)").collect()}
+    texts = dict(rows)
+    order = sorted(texts, key=hashes.get)
+    posterior = {p: v for p, v in zip(counts.index, labels.posterior(table))}
+    scorer = quality.train([quality.features(texts[i]) for i in order], np.array([posterior[cast[i]] for i in order]))
+    for r in quality.score(docs).collect():
+        assert r["votes"] == cast[r["doc_id"]]
+        assert r["weak_label"] == pytest.approx(posterior[r["votes"]], abs=1e-12)
+        assert r["score"] == pytest.approx(scorer.score(texts[r["doc_id"]]), abs=1e-9)
+
+
+def slow_profile(texts, size):
+    """The most frequent runs of one to three letters, pads between words included, by count and code points."""
+    counts = Counter()
+    for text in texts:
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        counts.update(c for w in words for c in w)
+        for w in words:
+            padded = f"\1{w}\1"
+            counts.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        line = "\1" + "\1".join(words) + "\1"
+        if words:
+            counts.update(line[k : k + 2] for k in range(len(line) - 1))
+    number = lambda g: sum(ord(c) << (21 * k) for k, c in enumerate(reversed(g)))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], number(x[0])))][:size]
+
+
+def test_languages_equal_their_definition(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").limit(200)
+    rows = [tuple(r) for r in rows.select("doc_id", "text", "lang").collect()]
+    rows += [(90_001, "Ἀθῆναι ß İ", "el"), (90_002, "", "de"), (90_003, None, "de"), (90_004, "123 ?!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1 and t is not None and lang]
+    size = langid.PROFILE
+    known = {lang: slow_profile([t for t, own in learned if own == lang], size) for lang in {lang for _, lang in learned}}
+    known = {lang: {g: k for k, g in enumerate(p)} for lang, p in known.items() if p}
+    for r in langid.identify(docs).collect():
+        text = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        own = slow_profile([text or ""], size)
+        away = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(own)) for lang, p in known.items()}
+        best = min(away, key=lambda lang: (away[lang], lang)) if own else "und"
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 - away[best] / (size * len(own)) if own else 0.0, abs=1e-12)
