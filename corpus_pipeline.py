@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stakeline.llm import decontaminate, langid, packing, simhash, suffix
-from stakeline.llm.common import fresh, new_path
+from stakeline.llm.common import fresh, new_path, release, stored
 from stakeline.llm.tokens import public_tokenizer
 
 # A text whose best language scores less is in none of the languages that the profiles know.
@@ -14,7 +14,7 @@ MIN_LANGUAGE_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know stay; those without a letter go."""
+    """Documents in a language that the profiles know stay; those without a letter, or a text, go."""
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
     found = fresh(docs, "_language")
     kept = docs.withColumn(found, langid.predictor(model)(F.col("text")))
@@ -23,24 +23,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 3-word SimHashes lie at most three bits apart stays."""
+    """One document of each group whose 3-word SimHashes lie at most three bits apart stays.
+
+    Of rows without an id one of each fingerprint stays.
+    """
     return simhash.drop_near_duplicates(docs, shingle=3, radius=3)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; bytes in strings of 200 bytes that occur twice are cut out of their texts."""
+    """All documents stay; bytes in strings of 200 bytes that occur twice are cut out of their texts.
+
+    ``n_chars``, where there is one, is that of the text that is left.
+    """
     cut = suffix.drop_repeated(docs, length=200)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that tiles of a benchmark item cover to four fifths of the item go."""
+    """Documents that tiles of a benchmark item cover to four fifths of the item go; NULL texts cover none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.drop_contaminated(docs, items, min_match=5, coverage=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids with their place in sequences of 1024."""
+    """Pieces of the documents' ids with their place in sequences of 1024; a NULL text is the end id alone."""
     return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
@@ -57,10 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored in the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is stored in the shared folder for the next.
+
+    What a stage stored besides, and its input, is released once its result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), stored()
     for name, stage in STAGES:
         path = new_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, before, keep=path)
         docs = spark.read.parquet(path)
     return docs
