@@ -130,13 +130,13 @@ def voting_power_at(
     )
 
 
-def _start(time: Column, period: str) -> Column:
+def period_start(time: Column, period: str) -> Column:
     """First moment of the period (DAY, WEEK, MONTH, QUARTER or YEAR) that ``time`` lies in."""
     day = time.cast("date")
     return (day if period.upper() == "DAY" else F.trunc(day, period)).cast("timestamp_ntz")
 
 
-def _legs(transfers: DataFrame) -> DataFrame:
+def legs_of(transfers: DataFrame) -> DataFrame:
     """Both legs of every transfer, with the time."""
     return transfers.selectExpr(
         "chain", "evt_block_time", "stack(2, `from`, -value, `to`, value) AS (delegator, units)"
@@ -153,8 +153,8 @@ def balance_history(transfers: DataFrame, period: str = "MONTH") -> DataFrame:
     are shuffled, so an address has as many rows to be ordered as it has periods.
     """
     length = "3 MONTH" if period.upper() == "QUARTER" else f"1 {period}"
-    end = _start(F.col("evt_block_time"), period) + F.expr(f"INTERVAL {length}")
-    moved = _legs(transfers).groupBy("chain", "delegator", end.alias("valid_from"))
+    end = period_start(F.col("evt_block_time"), period) + F.expr(f"INTERVAL {length}")
+    moved = legs_of(transfers).groupBy("chain", "delegator", end.alias("valid_from"))
     sums = moved.agg(F.try_sum("units").alias("units"), F.count("units").alias("legs"))
     by = Window.partitionBy("chain", "delegator").orderBy(F.col("valid_from").asc_nulls_first())
     so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -184,13 +184,13 @@ def ledger_at(
     ``history`` is ``balance_history`` of the same transfers with the same ``period``, kept at any
     time after the last full period ahead of ``as_of``.
     """
-    start = _start(moment(as_of), period)
+    start = period_start(moment(as_of), period)
     opening = history.where(
         (F.col("valid_from").isNull() | (F.col("valid_from") <= start))
         & (F.col("valid_to").isNull() | (F.col("valid_to") > start))
     ).select("chain", "delegator", "units", "legs")
     time = F.col("evt_block_time")
-    later = _legs(transfers.where((time >= start) & (time <= moment(as_of)))).select(
+    later = legs_of(transfers.where((time >= start) & (time <= moment(as_of)))).select(
         "chain", "delegator", "units", F.col("units").isNotNull().cast("long").alias("legs")
     )
     summed = aggregate_for(

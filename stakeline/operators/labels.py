@@ -10,7 +10,7 @@ from stakeline.scale import BROADCAST_ROWS, Sized, aggregate_for
 
 
 def _joined(col: str) -> Column:
-    """Distinct non-null values, sorted and comma-separated; those of one address meet in one task."""
+    """Distinct non-null values, sorted and comma-separated; they make one text, so they meet in one task."""
     return F.concat_ws(",", F.array_sort(F.collect_set(col))).alias(col)
 
 
@@ -29,7 +29,8 @@ def resolve_labels(
     address first, so repeats in one never multiply those in another.
     """
     def per_address(df: DataFrame, *cols: str) -> DataFrame:
-        df = df.select("address", *cols)
+        # Repeats of a name go ahead of that, wherever they lie.
+        df = df.select("address", *cols).distinct()
         return aggregate_for(
             df, delegates, ["address"], *[_joined(c) for c in cols], broadcast_rows=broadcast_rows
         )

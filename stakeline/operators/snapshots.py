@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stakeline.functions.amounts import to_tokens
 from stakeline.functions.times import DAY, SECOND, before, dated, elapsed_days, up_to
+from stakeline.scale import pin, small
 
 # Log position of an event. Time alone ties within a block, so block and index follow it.
 EVENT_ORDER = ("evt_block_time", "evt_block_number", "evt_index")
@@ -22,11 +23,21 @@ def latest_per_key(
     """Rows with the highest ``order`` per key: one row, or all tied rows with ``ties="all"``.
 
     Spark cuts each map task to its own winners ahead of the shuffle, so a key with any number of
-    events sends one row per task. With ``ties="all"`` the rows of a key that tie meet in one task.
+    events sends one row per task. With ``ties="all"`` the highest order of each key is an aggregate
+    that the map tasks begin, and the rows that have it are looked up: by broadcast if few keys have
+    any rows, else by a join that adaptive execution can split. So the tied rows of a key need not
+    meet in one task.
     """
-    place = F.row_number() if ties == "first" else F.dense_rank()
-    window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("_place", place.over(window)).where("_place = 1").drop("_place")
+    if ties == "first":
+        window = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+        return df.withColumn("_place", F.row_number().over(window)).where("_place = 1").drop("_place")
+    # In a comparison of structs NULL is the lowest, as it is with NULLS LAST in a falling order.
+    tops = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(F.struct(*order)).alias("_top"))
+    tops = small(pin(tops, "tops"))
+    same = F.struct(*order).eqNullSafe(F.col("_top"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(tops, same, "left_semi")
 
 
 def current_delegations(

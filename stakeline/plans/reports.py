@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +57,27 @@ def current_state(
     return State(delegations, pin(holdings.drop("w_delegated"), "holdings"))
 
 
+class Shared:
+    """What several reports over all chains have in common, worked out once, when it is first needed.
+
+    Pass one to ``all_chain_delegators``, ``holding_size_ranges``, ``chain_totals_report`` and
+    ``threshold_report``: together they read the events once, look up names once and rank once. The
+    reports of single chains order events by their log position, which may pick other delegations,
+    so they have a state of their own.
+    """
+
+    def __init__(self, tables: Tables, cfg: Config = Config()):
+        self.tables, self.cfg = tables, cfg.at()
+
+    @cached_property
+    def state(self) -> State:
+        return current_state(self.tables, self.cfg)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return leaderboard.ranked_delegators(self.state.holdings, self.tables.address_names)
+
+
 def _moved_by(transfers: DataFrame, cfg: Config) -> DataFrame:
     """Transfers up to ``as_of``. Without their times only the present can be described."""
     if not cfg.backdated:
@@ -153,14 +174,14 @@ class Board:
     stakers: DataFrame
 
 
-def _multi_board(tables: Tables, cfg: Config, state: State, base: str, strict: bool = False) -> Board:
+def _multi_board(shared: Shared, base: str, strict: bool = False) -> Board:
     """Ranks are kept, and beside them one table of figures with a row per chain.
 
     ``per_chain`` has the thresholds and unique delegators of a chain, ``totals`` the totals of the
     chains as one row; both are read off the figures. ``base`` says which rows of the state count as
     delegators.
     """
-    ranked = leaderboard.ranked_delegators(state.holdings, tables.address_names)
+    state, cfg, ranked = shared.state, shared.cfg, shared.ranked
     at = [F.col("rank") == k for k in cfg.ks]
     fields = F.struct("units", "days_delegated")
     listed = ranked.groupBy("chain").agg(
@@ -192,27 +213,31 @@ def _multi_board(tables: Tables, cfg: Config, state: State, base: str, strict: b
     return Board(shown, per_chain, totals, metrics.distinct_stakers(shown))
 
 
-def all_chain_delegators(tables: Tables, cfg: Config = Config()) -> DataFrame:
-    """Delegators of every chain, ranked per chain, with thresholds, staker count and grand total."""
-    cfg = cfg.at()
-    board = _multi_board(tables, cfg, current_state(tables, cfg), "holdings")
+def all_chain_delegators(tables: Tables, cfg: Config = Config(), shared: Shared | None = None) -> DataFrame:
+    """Delegators of every chain, ranked per chain, with thresholds, staker count and grand total.
+
+    Tables and parameters are those of ``shared`` if it is given; so they are in the next three.
+    """
+    shared = shared or Shared(tables, cfg)
+    cfg, board = shared.cfg, _multi_board(shared, "holdings")
     columns = [*_MULTI, *_thresholds(cfg), "num_of_stakers", "total_w_delegated_all", "unique_delegators"]
     totals = board.totals.select("total_w_delegated_all")
     return _report(board.rows, cfg, columns, [board.per_chain], [board.stakers, totals])
 
 
-def holding_size_ranges(tables: Tables, cfg: Config = Config()) -> DataFrame:
+def holding_size_ranges(tables: Tables, cfg: Config = Config(), shared: Shared | None = None) -> DataFrame:
     """Number of (chain, delegator) rows per holding size."""
-    cfg = cfg.at()
-    listed = leaderboard.listed_delegators(current_state(tables, cfg).holdings, tables.address_names)
+    shared = shared or Shared(tables, cfg)
+    cfg, holdings = shared.cfg, shared.state.holdings
+    listed = leaderboard.listed_delegators(holdings, shared.tables.address_names)
     rows = leaderboard.with_shares(listed, leaderboard.chain_units(listed), cfg.decimals, cfg.dust)
     return metrics.holding_histogram(rows, cfg.edges, cfg.last_edge_label)
 
 
-def chain_totals_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
+def chain_totals_report(tables: Tables, cfg: Config = Config(), shared: Shared | None = None) -> DataFrame:
     """``all_chain_delegators`` with the total of each chain as a column."""
-    cfg = cfg.at()
-    board = _multi_board(tables, cfg, current_state(tables, cfg), "holdings")
+    shared = shared or Shared(tables, cfg)
+    cfg, board = shared.cfg, _multi_board(shared, "holdings")
     chain_columns = [c for c in board.totals.columns if c != "total_w_delegated_all"]
     columns = [
         *_MULTI,
@@ -225,14 +250,14 @@ def chain_totals_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
     return _report(board.rows, cfg, columns, [board.per_chain], [board.stakers, board.totals])
 
 
-def threshold_report(tables: Tables, cfg: Config = Config()) -> DataFrame:
+def threshold_report(tables: Tables, cfg: Config = Config(), shared: Shared | None = None) -> DataFrame:
     """Delegators of every chain with per-chain totals and the tokens held at rank k of each chain.
 
     Unique delegators are counted over current delegations, and the grand total is NULL if any
     chain has no balance.
     """
-    cfg = cfg.at()
-    board = _multi_board(tables, cfg, current_state(tables, cfg), "delegations", strict=True)
+    shared = shared or Shared(tables, cfg)
+    cfg, board = shared.cfg, _multi_board(shared, "delegations", strict=True)
     prefixes = {c: CHAIN_PREFIX.get(c, c.lower()) for c in cfg.chains}
     wide = metrics.wide_thresholds(board.per_chain, cfg.ks, prefixes)
     columns = [

@@ -25,6 +25,11 @@ BROADCAST_ROWS = 200_000
 BROADCAST_TEXT = 64 << 20
 # Key hashes that take the room of one such row.
 HASHES_PER_ROW = 10
+# Bits of the largest bitmap of hashes that is broadcast (64 MB), and bits per listed key.
+BITMAP_BITS = 1 << 29
+BITS_PER_KEY = 8
+# 64-bit words in a row of a bitmap.
+BITMAP_WORDS = 512
 # A window group handled by one task holds at most this many rows.
 WINDOW_ROWS = 1_000_000
 # A join key with more rows than this is split.
@@ -108,6 +113,39 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_row", row.select(F.struct("*")).scalar()).select("*", "_row.*").drop("_row")
 
 
+def _bit_of(on: Sequence[str], bits: int) -> dict[str, Column]:
+    """Where in a bitmap of ``bits`` a key has its bit: row, word in the row, bit in the word."""
+    place = F.pmod(F.xxhash64(*on), F.lit(bits).cast("long"))
+    word = F.shiftright(place, 6)
+    return {
+        "_row": F.floor(word / BITMAP_WORDS).cast("long"),
+        "_word": (word % BITMAP_WORDS).cast("int"),
+        "_bit": F.pmod(place, F.lit(64)).cast("int"),
+    }
+
+
+def maybe_listed(rows: DataFrame, wanted: Sized, on: Sequence[str]) -> DataFrame:
+    """``rows`` without most of those whose key ``wanted`` doesn't list, for lists beyond a broadcast table.
+
+    The keys' hashes are added up to a bitmap of at most ``BITMAP_BITS``, kept as rows of
+    ``BITMAP_WORDS`` words. It is broadcast and tested in the stage that scans ``rows``. About one in
+    ``BITS_PER_KEY`` unlisted keys stays; a list so long that half the bits would be set isn't used.
+    """
+    bits = min(BITMAP_BITS, -(-max(wanted.rows, 1) * BITS_PER_KEY // (64 * BITMAP_WORDS)) * 64 * BITMAP_WORDS)
+    if wanted.rows > bits // 2:
+        return rows
+    at = _bit_of(on, bits)
+    words = wanted.df.select(*[c.alias(n) for n, c in at.items()]).groupBy("_row", "_word")
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits"))
+    by_word = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
+    zero = F.lit(0).cast("long")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1)), lambda i: F.coalesce(F.col("_map")[i], zero))
+    bitmap = words.groupBy("_row").agg(by_word.alias("_map")).select("_row", dense.alias("_bitmap"))
+    marked = rows.withColumns(at).join(F.broadcast(keep(bitmap, "bitmap")), "_row")
+    listed = F.call_function("shiftright", F.get("_bitmap", F.col("_word")), F.col("_bit"))
+    return marked.where(listed.bitwiseAND(F.lit(1)) == 1).drop(*at, "_bitmap")
+
+
 def aggregate_for(
     rows: DataFrame,
     wanted: Sized,
@@ -118,7 +156,8 @@ def aggregate_for(
     """``wanted`` (one row per group) with the aggregates of its groups; empty groups are absent.
 
     A short list filters the rows ahead of the aggregate, by hash where the join that follows is
-    exact anyway. A long one meets only the groups: partial aggregation in the map tasks collapses
+    exact anyway, and one beyond that by a bitmap of hashes. A list too long for either meets only
+    the groups: partial aggregation in the map tasks collapses
     hot groups before the shuffle, and the join reuses the partitioning of the aggregate. That form
     also aggregates groups nobody asked for, so ``aggs`` must not raise for any group.
     """
@@ -129,6 +168,8 @@ def aggregate_for(
         hashes = wanted.df.select(F.xxhash64(*on).alias("_hash"))
         rows = rows.withColumn("_hash", F.xxhash64(*on))
         rows = rows.join(F.broadcast(hashes), "_hash", "left_semi")
+    else:
+        rows = maybe_listed(rows, wanted, on)
     return rows.groupBy(*on).agg(*aggs).join(wanted.df, on)
 
 

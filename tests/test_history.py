@@ -13,6 +13,7 @@ from stakeline import scale
 from stakeline.operators import history, holders, leaderboard, ledger, metrics, selection, snapshots
 from stakeline.plans import reports
 from stakeline.scale import Sized
+from stakeline.sources import layout
 from stakeline.sources.benchmark import CONFIG, benchmark_tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -215,3 +216,67 @@ def test_thresholds_by_counting(spark):
     found = leaderboard.thresholds(state.holdings, tables.address_names, ks, CONFIG.decimals)
     assert rows(found) == rows(metrics.rank_thresholds(board, ks).select(*found.columns))
     assert not re.search(r"Window|row_number", plan(found))
+
+
+def test_reports_share_one_reading(spark, monkeypatch):
+    """Four reports of one run: the events are read once, names are looked up and ranks made once."""
+    tables = benchmark_tables(spark, SF_DIR, "delegate_changed", "transfers", "address_names")
+    alone = [f(tables, CONFIG) for f in (reports.all_chain_delegators, reports.chain_totals_report, reports.threshold_report)]
+    kept, keep = [], scale.keep
+    for module in (scale, reports, leaderboard):
+        if hasattr(module, "keep"):
+            monkeypatch.setattr(module, "keep", lambda df, name: (kept.append((name, plan(df))), keep(df, name))[1])
+    shared = reports.Shared(tables, CONFIG)
+    together = [
+        f(tables, shared=shared) for f in (reports.all_chain_delegators, reports.chain_totals_report, reports.threshold_report)
+    ]
+    ranges = reports.holding_size_ranges(tables, shared=shared)
+    assert [rows(df) for df in together] == [rows(df) for df in alone]
+    assert rows(ranges) == rows(reports.holding_size_ranges(tables, CONFIG, shared))
+    names = [name for name, _ in kept]
+    assert names.count("delegations") == names.count("holdings") == names.count("ranked") == 1
+    texts = [text for _, text in kept] + [plan(df) for df in (*together, ranges)]
+    assert sum(t.count("lineitem.parquet") for t in texts) == sum(t.count("orders.parquet") for t in texts) == 1
+
+
+def test_bitmap_drops_unlisted_keys_in_the_scan(spark):
+    listed = spark.range(0, 200_000, 7).selectExpr("concat('c', id % 3) AS chain", "cast(string(id) AS binary) AS delegator")
+    listed = scale.pin(listed.union(spark.sql("SELECT 'x', CAST(NULL AS BINARY)")), "listed")
+    rows_ = spark.range(200_000).selectExpr("concat('c', id % 3) AS chain", "cast(string(id) AS binary) AS delegator", "id")
+    left = scale.maybe_listed(rows_, listed, ["chain", "delegator"])
+    text = plan(left)
+    assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+    ids = {r["id"] for r in left.select("id").collect()}
+    assert ids >= set(range(0, 200_000, 7)) and len(ids) < 200_000 / 7 + 0.2 * 200_000
+    assert scale.maybe_listed(rows_, Sized(listed.df, scale.BITMAP_BITS), ["chain", "delegator"]) is rows_
+
+
+def test_bucketed_ledger_moves_nothing(spark, tmp_path):
+    tables = benchmark_tables(spark, SF_DIR, "delegate_changed", "transfers")
+    current = snapshots.current_delegations(tables.delegate_changed, CONFIG.as_of).select("chain", "delegator")
+    held = layout.write_bucketed(current, "bucketed_delegations", 8, str(tmp_path / "delegations"))
+    sums = layout.write_bucketed(layout.period_legs(tables.transfers), "bucketed_legs", 8, str(tmp_path / "legs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = ledger.ledger_balances(sums, Sized(held, held.count()), 4, legs=layout.period_units, broadcast_rows=0)
+        text = plan(found)
+        assert "SortMergeJoin" in text and "Exchange hashpartitioning" not in text
+        assert rows(found) == rows(ledger.ledger_balances(tables.transfers, scale.pin(current, "held"), 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_delegations")
+        spark.sql("DROP TABLE bucketed_legs")
+
+
+def test_ties_are_found_by_an_aggregate(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([1, None]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, x long, y long, i long")
+    found = snapshots.latest_per_key(df, ["k"], ["x", "y"], ties="all")
+    low = lambda v: -1 if v is None else v
+    want = {
+        r for r in data
+        if (low(r[1]), low(r[2])) == max((low(s[1]), low(s[2])) for s in data if s[0] == r[0])
+    }
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 3
+    assert "Window" not in plan(found)
