@@ -292,6 +292,7 @@ def merged_delegates(tables: Tables, cfg: Config) -> DataFrame:
     named = labels.resolve_labels(
         Sized(powered, 2 * cfg.top_n), tables.address_names, tables.ens, tables.labels, cfg.label_category
     )
+    named = keep(named, "labels")
     changes = tables.delegate_changed.where(F.col("chain") == cfg.votes_chain)
     changes = changes.where(up_to("evt_block_time", cfg.as_of))
     if cfg.backdated:
