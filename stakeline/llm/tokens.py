@@ -11,7 +11,7 @@ from functools import cache
 import numpy as np
 
 # Strings of a generation of a worker's memory, which holds two (a text may add some).
-SEEN = 700_000
+SEEN = 400_000
 # Characters encoded at once.
 CHARS = 1 << 20
 # What regular expressions of the tokenizers library call white space.
