@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeline.llm.common import store, text_slices, trim
+from stakeline.llm.common import text_slices, trim
 from stakeline.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -114,14 +114,16 @@ def _pack(capacity: int, open_bins: int):
     return run
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN, stream: int = STREAM) -> DataFrame:
+def pack(
+    parts: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN, stream: int = STREAM, rows: int | None = None
+) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: each sequence is filled without a gap from 0.
 
-    Pieces are dealt by hash into streams of about ``stream``. In a stream the longest come first and
+    Pieces, of which there are about ``rows``, are dealt by hash into streams of about ``stream``. In a stream the longest come first and
     hash and id decide ties, so a lost task packs the same way again. With fewer open bins than a
     stream needs the fullest close, which costs some room; the packer never holds more.
     """
-    count = max(math.ceil(parts.count() / stream), 1)
+    count = max(math.ceil((parts.count() if rows is None else rows) / stream), 1)
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     dealt = parts.withColumn("_order", order).withColumn("_stream", F.pmod(F.xxhash64("_order"), F.lit(count)))
     kinds = [*parts.dtypes, ("sequence_id", "bigint"), ("offset", "bigint")]
@@ -142,7 +144,12 @@ def pack_documents(
     """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset`` per piece of a document.
 
     A NULL or empty text is the id ``end`` alone. Repeated rows and rows without an id are documents
-    of their own. Other columns are ignored; no documents, no pieces.
+    of their own. Other columns are ignored; no documents, no pieces. Ids go from the task that makes
+    them to the stream that packs them; how many streams there are follows from the texts' sizes.
     """
-    parts = store(pieces(docs, tokenizer, id_col, text_col, capacity, end), "pieces", "zstd")
-    return pack(parts, capacity, open_bins)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # A token for four ASCII characters, and one for each byte more that others take.
+    tokens = F.char_length(text) / 4 + F.octet_length(text) - F.char_length(text)
+    size = docs.agg(F.count("*").alias("rows"), F.sum(tokens).alias("tokens")).first()
+    about = size["rows"] + int((size["tokens"] or 0) / capacity)
+    return pack(pieces(docs, tokenizer, id_col, text_col, capacity, end), capacity, open_bins, rows=about)
