@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -123,7 +122,7 @@ def pack(
     hash and id decide ties, so a lost task packs the same way again. With fewer open bins than a
     stream needs the fullest close, which costs some room; the packer never holds more.
     """
-    count = max(math.ceil((parts.count() if rows is None else rows) / stream), 1)
+    count = max(round((parts.count() if rows is None else rows) / stream), 1)
     order = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     dealt = parts.withColumn("_order", order).withColumn("_stream", F.pmod(F.xxhash64("_order"), F.lit(count)))
     kinds = [*parts.dtypes, ("sequence_id", "bigint"), ("offset", "bigint")]
