@@ -64,9 +64,15 @@ def changes(spark, dated=True):
     return frame(spark, data, CHANGES)
 
 
-@pytest.mark.parametrize("order", [snapshots.EVENT_ORDER, snapshots.LOG_ORDER])
-@pytest.mark.parametrize("span", [7, None])
-@pytest.mark.parametrize("dated", [True, False])
+@pytest.mark.parametrize(
+    "order, span, dated",
+    [
+        (snapshots.EVENT_ORDER, 7, False),
+        (snapshots.EVENT_ORDER, None, True),
+        (snapshots.LOG_ORDER, 7, False),
+        (snapshots.LOG_ORDER, None, True),
+    ],
+)
 def test_delegations_at_any_moment(spark, order, span, dated):
     events = changes(spark, dated)
     kept = scale.keep(history.delegation_intervals(events, order, span), "intervals")
@@ -100,8 +106,7 @@ def transfers(spark):
     return frame(spark, data, TRANSFERS)
 
 
-@pytest.mark.parametrize("period", ["DAY", "MONTH", "QUARTER", "YEAR"])
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("period, limit", [("DAY", 10**6), ("WEEK", 0), ("MONTH", 0), ("QUARTER", 10**6), ("YEAR", 0)])
 def test_ledger_at_equals_the_full_sum(spark, period, limit):
     moves = transfers(spark)
     wanted = [("a", bytes([k])) for k in (0, 1, 2, 0x63, 0x64, 0x66, 0x70)] + [("b", b"\x03"), ("c", b"\x01")]
@@ -169,7 +174,7 @@ def numbers():
     return few + many + [Decimal(5)] * 60 + [None] * 7
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 1024])
+@pytest.mark.parametrize("buckets", [16, 1024])
 def test_places_equal_a_sort(spark, buckets):
     values = numbers()
     df = spark.createDataFrame([(v,) for v in values], "v decimal(38,0)")
