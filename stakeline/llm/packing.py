@@ -102,6 +102,8 @@ def pieces(
 
 def _pack(capacity: int, open_bins: int):
     def run(rows: pa.Table) -> pa.Table:
+        encoder.cache_clear()  # all texts are encoded when the first stream is packed
+        trim()
         stream = rows.column("_stream")[0].as_py()
         keys = [("length", "descending"), *((c, "ascending") for c in ("_order", "doc_id", "piece", "start"))]
         rows = rows.take(pc.sort_indices(rows, sort_keys=keys))

@@ -385,6 +385,8 @@ def _search(length: int):
                     moved["end"] += lo
                     place.setdefault((i, th), []).append(moved)
         out = [(i, th, np.concatenate(spans).tobytes(), None, -1) for (i, th), spans in place.items()] + digests
+        del found, data, flags
+        trim()
         return pd.DataFrame(out, columns=["id", "th", "spans", "digest", "pos"])
 
     return run
