@@ -5,20 +5,27 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Strings of a generation of a worker's memory, which holds two (a text may add some).
-SEEN = 400_000
+SEEN = 200_000
 # Characters encoded at once.
-CHARS = 1 << 20
+CHARS = 2 << 20
 # What regular expressions of the tokenizers library call white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Stands between pieces in texts that don't hold it.
+MARK = "\x1f"
 
-_spaced = re.compile(f"[{SPACE}] ")
+_spaced = f"[{SPACE}] "
+_to_space = f"([^{SPACE}])([{SPACE}])"
 _piece = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# Words end between a letter and a mark that starts none of "'s", "'t" and so on.
+_letter_mark = r"([A-Za-z])([!-&(-/:-@\[-`{-~])"
 
 # The words of the public tokenizers' patterns, for texts of plain Latin letters.
 _letter = "A-Za-zÀ-ÖØ-öø-įı-ſ"
@@ -49,8 +56,8 @@ class Encoder:
     """``encode`` gives the ids that the tokenizers library gives for the whole text.
 
     Byte-pair tokenizers first cut a text into words, and no word reaches from a character into the
-    white space after it. So a text is cut before each white space that follows another character,
-    and the ids of pieces seen before are looked up. New pieces are cut into words as the library
+    white space after it, or from an ASCII letter into an ASCII mark. So texts are cut there, many at
+    once, and the ids of pieces seen before are looked up. New pieces are cut into words as the library
     cuts them, and the library's model merges the words not seen before. With
     ``strip`` the tokenizer drops white space, and pieces lose the spaces between them.
     """
@@ -68,14 +75,20 @@ class Encoder:
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        """A list of pieces for each text."""
         if self.strip:
-            return text.split(" ")
-        if _spaced.search(text):
-            return _piece.findall(text)
-        first, *rest = text.split(" ")
-        found = [" " + x for x in rest]
-        return [first, *found] if first else found
+            return pc.split_pattern(pc.replace_substring_regex(texts, _letter_mark, r"\1 \2"), " ")
+        marked = pc.replace_substring(texts, " ", f"{MARK} ")
+        spaced = pc.match_substring_regex(texts, _spaced)
+        if pc.any(spaced).as_py():
+            marked = pc.if_else(spaced, pc.replace_substring_regex(texts, _to_space, rf"\1{MARK}\2"), marked)
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, _letter_mark, rf"\1{MARK}\2"), MARK)
+        held = pc.match_substring(texts, MARK)
+        if pc.any(held).as_py():
+            found = [_piece.findall(t) if h else None for t, h in zip(texts.to_pylist(), held.to_pylist())]
+            cut = pc.if_else(held, pa.array(found, cut.type), cut)
+        return cut
 
     def _words(self, piece: str) -> list[str]:
         """The words of a piece as the model takes them, by the library."""
@@ -98,7 +111,7 @@ class Encoder:
         self.seen[word] = ids
         return ids
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: Iterable[str]) -> None:
         """Ids, as bytes, of new pieces.
 
         Pieces of plain Latin letters, digits and ASCII marks are cut here as the library would.
@@ -119,12 +132,17 @@ class Encoder:
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for NULL or an empty text."""
-        cut = [self.pieces(t) if t else [] for t in texts]
+        cut = self.pieces(pa.array(texts, pa.large_string()).fill_null(""))
+        found = cut.flatten().dictionary_encode()
+        pieces = found.dictionary.to_pylist()
         if len(self.seen) > SEEN:
             self.seen, self.before = {}, self.seen
-        self._learn(set().union(*cut).difference(self.seen))
-        known = self.seen.__getitem__
-        return [np.frombuffer(b"".join(map(known, pieces)), dtype="<u4") for pieces in cut]
+        self._learn([p for p in pieces if p not in self.seen])
+        each = pa.array(list(map(self.seen.__getitem__, pieces)), pa.large_binary()).take(found.indices)
+        _, ends, data = each.buffers()
+        ids = np.frombuffer(data or b"", dtype="<u4")
+        bounds = np.frombuffer(ends, dtype=np.int64)[cut.offsets.to_numpy()] // 4
+        return [ids[start:stop] for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def batches(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """``encode`` for many texts, a bounded number of characters at a time."""

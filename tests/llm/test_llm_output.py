@@ -65,6 +65,14 @@ def test_encoder_on_the_test_texts(spark, encoders):
         assert [x.tolist() for x in own.batches(texts)] == library
 
 
+@pytest.mark.parametrize("strip", [True, False])
+def test_marks_after_letters_are_pieces_of_their_own(strip):
+    own = Encoder(WORDS if strip else BYTES, strip)
+    texts = ["on, on! on. can't 'tis x=\u0338y", "on\x1f, on", "a  b,\n c ", None, "", " on,"]
+    assert [x.tolist() for x in own.encode(texts)] == [plain_ids(WORDS if strip else BYTES, t) for t in texts]
+    assert {"on", ",", "!", "."} <= set(own.seen) and not {"on,", " on,", "on!", " on!"} & set(own.seen)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.just(0), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=300))
 def test_simple8b_round_trip(values):
