@@ -62,9 +62,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids with their place in sequences of 1024; a NULL text is the end id alone."""
+    """Pieces of the documents' ids with their place in sequences of 1024; a NULL text is the end id alone.
+
+    An executor still has the workers of the stages before, more of them than run at once, so those
+    that wait hold no tokenizer.
+    """
     _small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+    return packing.pack_documents(docs, public_tokenizer("byte_bpe_50k.json"), capacity=1024, end=2, remember=False)
 
 
 STAGES = [

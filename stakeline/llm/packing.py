@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeline.llm.common import text_slices, trim
-from stakeline.llm.tokens import encoder
+from stakeline.llm.tokens import Encoder, encoder
 
 CAPACITY = 1024
 OPEN = 8192
@@ -62,22 +62,31 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> tuple[list[in
     return places, offsets
 
 
-def _cut(path: str, capacity: int, end: int):
+def _cut_texts(part: pa.RecordBatch, encode: Encoder, capacity: int, end: bytes) -> pa.RecordBatch:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    rows: list[tuple] = []
+    ids = part.column("doc_id").to_pylist()
+    for doc, found in zip(ids, encode.batches(part.column("text").to_pylist())):
+        data, total = found.tobytes() + end, len(found) + 1
+        start, stop = 0, total % capacity or capacity
+        for piece in range(-(-total // capacity)):
+            cut = data[4 * start : 4 * stop]
+            rows.append((doc, piece, start, stop - start, zlib.crc32(cut), cut))
+            start, stop = stop, stop + capacity
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _cut(path: str, capacity: int, end: int, remember: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(path, strip=False), end.to_bytes(4, "little")
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for batch in (part for whole in batches for part in text_slices(whole, "text")):
-            rows: list[tuple] = []
-            ids = batch.column("doc_id").to_pylist()
-            for doc, found in zip(ids, encode.batches(batch.column("text").to_pylist())):
-                data, total = found.tobytes() + last, len(found) + 1
-                start, stop = 0, total % capacity or capacity
-                for piece in range(-(-total // capacity)):
-                    part = data[4 * start : 4 * stop]
-                    rows.append((doc, piece, start, stop - start, zlib.crc32(part), part))
-                    start, stop = stop, stop + capacity
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+        for part in (part for whole in batches for part in text_slices(whole, "text")):
+            yield _cut_texts(part, encode, capacity, last)
+            if not remember:
+                trim()
+        if not remember:
+            del encode
+            encoder.cache_clear()
         trim()
 
     return run
@@ -90,14 +99,17 @@ def pieces(
     text_col: str = "text",
     capacity: int = CAPACITY,
     end: int = END,
+    remember: bool = True,
 ) -> DataFrame:
     """Each document's ids and the id ``end``, in pieces of at most ``capacity``.
 
     Only a longer document is cut; its first piece holds what the others, all full, leave over.
-    ``ids`` are little-endian unsigned 32-bit numbers.
+    ``ids`` are little-endian unsigned 32-bit numbers. Workers keep the tokenizer and the pieces
+    it has seen for their next tasks; unless they ``remember``, each task begins anew, and a worker
+    that waits holds neither.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, capacity, end), PIECES)
+    return rows.mapInArrow(_cut(tokenizer, capacity, end, remember), PIECES)
 
 
 def _pack(capacity: int, open_bins: int):
@@ -141,16 +153,18 @@ def pack_documents(
     capacity: int = CAPACITY,
     open_bins: int = OPEN,
     end: int = END,
+    remember: bool = True,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset`` per piece of a document.
 
     A NULL or empty text is the id ``end`` alone. Repeated rows and rows without an id are documents
     of their own. Other columns are ignored; no documents, no pieces. Ids go from the task that makes
     them to the stream that packs them; how many streams there are follows from the texts' sizes.
+    ``remember`` is that of ``pieces``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A token for four ASCII characters, and one for each byte more that others take.
     tokens = F.char_length(text) / 4 + F.octet_length(text) - F.char_length(text)
     size = docs.agg(F.count("*").alias("rows"), F.sum(tokens).alias("tokens")).first()
     about = size["rows"] + int((size["tokens"] or 0) / capacity)
-    return pack(pieces(docs, tokenizer, id_col, text_col, capacity, end), capacity, open_bins, rows=about)
+    return pack(pieces(docs, tokenizer, id_col, text_col, capacity, end, remember), capacity, open_bins, rows=about)

@@ -5,6 +5,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from checks.compare import connect, difference
-from stakeline.llm import common, langid, packing, simhash, simple8b, suffix, token_files, warc
+from stakeline.llm import common, langid, packing, simhash, simple8b, suffix, token_files, tokens, warc
 from stakeline.llm.queries import ORACLE, QUERIES
 from stakeline.llm.tokens import Encoder, public_tokenizer
 
@@ -152,6 +153,23 @@ def test_best_fit_equals_definition(lengths, limit):
     assert packing.best_fit(lengths, 20, limit) == (places, offsets)
 
 
+@pytest.mark.parametrize("remember", [True, False])
+def test_a_worker_that_forgets_holds_no_tokenizer(remember):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    tokens.encoder.cache_clear()
+    (cut,) = packing._cut(BYTES, 64, 2, remember)(iter([batch]))
+    want = [np.array([*plain_ids(BYTES, t), 2], dtype="<u4").tobytes() for t in ("some words", None)]
+    assert cut.column("ids").to_pylist() == want
+    assert tokens.encoder.cache_info().currsize == remember
+
+
+def test_the_pipeline_packs_with_workers_that_forget(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **options: asked.update(options))
+    corpus_pipeline.packed(spark, docs(spark), SF)
+    assert asked["remember"] is False
+
+
 @pytest.mark.parametrize("stream", [16_384, 5])
 def test_packing(spark, stream, monkeypatch):
     parts = packing.pieces(docs(spark), BYTES, capacity=64)
