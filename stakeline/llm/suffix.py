@@ -184,18 +184,22 @@ def _repeated_keys(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _passages(length: int, shards: int):
-    """The bytes of each run to the shard of its key; equal runs of a slice once, with their places."""
+def _passages(length: int, shards: int, known: dict[int, int] | None = None):
+    """The bytes of each run to the shard of its key; equal runs of a slice once, with their places.
+
+    Hot keys and their pieces come with a document, in its column ``hot``, or are ``known`` for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, "text", TEXT)):
-            texts, blobs, crowded = batch.column("text"), batch.column("runs"), batch.column("hot")
+            texts, blobs = batch.column("text"), batch.column("runs")
+            crowded = batch.column("hot") if "hot" in batch.schema.names else pa.nulls(batch.num_rows)
             ids, ths = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             held: dict[int, dict[bytes, list]] = {}
             for d in range(batch.num_rows):
                 text = texts[d].as_py()
                 runs = np.unique(np.frombuffer(b"".join(blobs[d].as_py()), dtype=RUNS))  # repeated rows send them twice
-                hot = {h["key"] & MASK: h["pieces"] for h in crowded[d].as_py() or ()}
+                hot = {**(known or {}), **{h["key"] & MASK: h["pieces"] for h in crowded[d].as_py() or ()}}
                 member = (int(ids[d]), int(ths[d]))
                 for key, lo, n in zip(runs["key"].tolist(), runs["lo"].tolist(), runs["n"].tolist()):
                     pieces = hot.get(key, 0)
