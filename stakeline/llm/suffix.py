@@ -338,7 +338,7 @@ def _spans(flags: np.ndarray, length: int) -> np.ndarray:
 
 
 def _search(length: int):
-    """Spans of repeated windows by document, and digests of a hot key's windows that no other here equals.
+    """Spans of repeated windows by document, and a digest of each distinct window of a hot key.
 
     Windows of different keys differ. So a passage whose key no other passage of the shard has needs
     no suffix array, unless it repeats a window itself: all its windows occur as often as it does.
@@ -364,10 +364,11 @@ def _search(length: int):
         data = np.frombuffer(b"".join(x for x, c in zip(found, compared.tolist()) if c), dtype=np.uint8)
         first, some = np.zeros(len(n), dtype=np.int64), n[compared]
         first[compared] = np.cumsum(some + length - 1) - (some + length - 1)
-        flags = np.zeros(len(data), dtype=bool)
+        flags, told = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
         if len(some):
             order, group = repeated_windows(data, first[compared], some, length)
             flags[order] = np.bincount(group)[group] > 1
+            told[order[np.diff(group, prepend=-1) > 0]] = True  # one of each class
         copies = np.array([sum(len(m) for m in entry[1]) for entry in found.values()])
         place: dict[tuple[int, int], list[np.ndarray]] = {}
         digests: list[tuple] = []
@@ -377,7 +378,8 @@ def _search(length: int):
             members = np.concatenate(parts)
             if is_hot:
                 some = members[0]
-                for p in range(int(n[k])):
+                once = told[first[k] : first[k] + n[k]] if compared[k] else np.ones(n[k], dtype=bool)
+                for p in np.flatnonzero(once).tolist():
                     digest = xxhash.xxh3_128_digest(text[p : p + length])
                     at = -1 if own[p] else int(some["lo"]) + p
                     digests.append((int(some["id"]), int(some["th"]), None, digest, at))

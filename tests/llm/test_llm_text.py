@@ -104,6 +104,27 @@ def test_a_hot_key_of_one_document_is_dealt_to_pieces():
     assert len(members) == 8 and sum(members) == 790 and max(members) < 200
 
 
+def test_a_window_that_passages_of_a_hot_key_share_is_told_once():
+    import xxhash
+
+    rng = random.Random(8)
+    own = lambda k: bytes(rng.choices(b"abcdef", k=k))
+    shared, length = own(60), 50
+    texts = [own(15) + shared + own(15) for _ in range(30)]
+    columns = {"n": np.full(30, 41, dtype="<u2"), "hot": np.ones(30, dtype="u1"), "many": np.ones(30, dtype="<u4")}
+    columns["members"] = np.array([(i, 1, 0) for i in range(30)], dtype=suffix.MEMBER)
+    columns["keys"] = np.full(30, 5, dtype="<u8")
+    rows = pd.DataFrame({"shard": [1], **{k: [v.tobytes()] for k, v in columns.items()}, "data": [b"".join(texts)]})
+    found = suffix._search(length)(rows)
+    windows = Counter(t[p : p + length] for t in texts for p in range(41))
+    assert windows.most_common(1)[0][1] == 30
+    told = found[found["digest"].notna()]
+    assert Counter(told["digest"]) == Counter(xxhash.xxh3_128_digest(w) for w in windows)
+    alone = {xxhash.xxh3_128_digest(w) for w, n in windows.items() if n == 1}
+    assert set(told["digest"][told["pos"] >= 0]) == alone
+    assert sorted(found["id"][found["spans"].notna()]) == list(range(30))
+
+
 @pytest.mark.parametrize("hot", [8192, 3])
 def test_suffix_within_one_document(spark, hot):
     rng = random.Random(6)
